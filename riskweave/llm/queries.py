@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,5 +18,42 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing}
-SQL: dict[str, str] = {}
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs = table(spark, sf_dir, "documents")
+    prototypes = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(docs, prototypes)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(warc.archive(table(spark, sf_dir, "pages"))).drop("payload")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    name: f for name, f in dict(globals()).items() if name.startswith("op") and callable(f)}
+
+SQL: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, max(page_id) AS m, count(*) AS k FROM p WHERE n >= 1000 GROUP BY d HAVING count(*) > 1)
+        SELECT p.page_id, p.url, p.n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN f.m IS NOT NULL AND f.m IS DISTINCT FROM p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN f.m IS DISTINCT FROM p.page_id THEN f.m END AS refers_to
+        FROM p LEFT JOIN f ON f.d = p.d""",
+}
