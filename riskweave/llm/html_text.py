@@ -135,20 +135,21 @@ def parse(page: str) -> Node:
 
 
 def _acquit(root: Node) -> None:
-    """An element that only its names exclude stays if it holds an article or most of the page's text."""
+    """An element that only its names exclude stays if it holds an article, or the page's heading and most of its text."""
     todo, named, total = [root], [], 0
     while todo:
         x = todo.pop()
         if x.never and x.named:
-            inside, chars, article = [x], 0, False
+            inside, chars, article, heading = [x], 0, False, False
             while inside:
                 for c in inside.pop().children:
                     if isinstance(c, str):
                         chars += len(c)
                     elif not c.never or c.named:
                         article = article or c.tag in ("article", "main") and not c.never
+                        heading = heading or c.tag == "h1"
                         inside.append(c)
-            named.append((x, chars, article))
+            named.append((x, chars, article, heading))
             total += chars
         elif not x.never:
             for c in x.children:
@@ -156,8 +157,8 @@ def _acquit(root: Node) -> None:
                     total += len(c)
                 else:
                     todo.append(c)
-    for x, chars, article in named:
-        if article or chars > 0.6 * total:
+    for x, chars, article, heading in named:
+        if article or heading and chars > 0.6 * total:
             x.never = False
             _acquit(x)
 
