@@ -57,6 +57,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.archive(table(spark, sf_dir, "pages"))).drop("payload")
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    found = lines.decide(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: f for name, f in dict(globals()).items() if name.startswith("op") and callable(f)}
 
