@@ -51,6 +51,14 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pseudonyms
+
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="riskweave demonstration key")
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), *[of(k).alias(f"n_{k}") for k, _ in pseudonyms.KINDS])
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
