@@ -59,6 +59,12 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), *[of(k).alias(f"n_{k}") for k, _ in pseudonyms.KINDS])
 
 
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import leaks
+
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
