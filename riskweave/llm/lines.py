@@ -3,19 +3,21 @@
 A line's tokens are its lower-cased words; lines are equal or near by the Jaccard similarity of their token sets.  A
 line goes if an earlier line (by doc_id, then line number) has a similarity of at least LEAST with it.
 
-  1. Tokens are counted over all lines in 2^15 hash buckets; rarity, then the token's hash, is the global order.
-  2. Lines with equal token sets are one class; all but its first line go.  Classes alone are joined, so copies of a
-     line, however many, are never paired.
-  3. Prefix filter: two sets of n and m tokens with the similarity t share one of their n - ceil(t n) + 1 rarest
-     tokens.  Classes meet on these.  Length filter: m >= t n.  Positional filter: what is left behind the shared token
-     must suffice for the overlap t/(1+t) (n+m).  A 128-bit map of each set bounds the overlap further.
-  4. Classes that meet the first class of one of their tokens are verified first; the others, which still lack an
-     earlier match, then meet all earlier classes.  So a group of near copies is not expanded into its pairs.
+  1. Token sets are written once, as 31-bit hashes.  Tokens are counted over all lines in 2^18 hash buckets; rarity,
+     then the token's hash, is the global order.
+  2. Lines with equal token sets (by a 128-bit hash) are one class; all but its first line go.  Classes alone are
+     joined, so copies of a line, however many, are never paired.
+  3. Star: classes that share the least or the largest hash among their rarer tokens are compared with the first class
+     that has it.  This settles most of a large group of near copies with one comparison each.
+  4. Prefix filter: two sets of n and m tokens with the similarity t share one of their n - ceil(t n) + 1 rarest
+     tokens.  Classes that are not settled meet all earlier ones on these.  Length filter: m >= t n.  Positional
+     filter: what is left behind the shared token must suffice for the overlap t/(1+t) (n+m).  A 128-bit parity map
+     of each set bounds the tokens that differ.
   5. Candidates are verified on their whole token sets.
 
 All of it is DataFrame operations.  Lines without a word, and null texts, are never removed.  Rows that share doc_id are
-ordered by a hash of the text; rows alike in both share one decision; null doc_id comes first.  An empty table gives
-an empty result; a line of any length is one line.
+ordered by a hash of the text, rows alike in both share one decision, null doc_id comes first; only where such rows are
+there is the table numbered anew.  An empty table gives an empty result; a line of any length is one line.
 """
 
 from __future__ import annotations
@@ -27,112 +29,132 @@ from pyspark.sql import functions as F
 from ._support import cut
 
 LEAST = 0.8
-BUCKETS = 1 << 15
-#: Lines of candidates are broadcast up to this many bytes (40 a line); beyond, they are joined by shuffle.
-MOST_BROADCAST = 32 << 20
+BUCKETS = 1 << 18
+#: Keys of lines are broadcast up to this many bytes (24 a line); beyond, they are joined by shuffle.
+MOST_BROADCAST = 24 << 20
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
-    """Hashes of the distinct words; a leading blank gives one empty word, which goes."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), _SPACE), lambda w: F.when(w == "", F.lit(0).cast("long")).otherwise(F.xxhash64(w)))), F.lit(0).cast("long"))
+    """31-bit hashes of the distinct words; the empty words beside blanks go."""
+    low = F.lower(line)
+    odd = F.lit(False)
+    for c in _OTHER_SPACE:
+        odd = odd | F.contains(line, F.lit(c))
+    words = F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
+    return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
+
+
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with the column _n, which orders and tells apart documents: the key itself where that does so."""
+    ids = docs.select(F.col(key).cast("long").alias("id"))
+    if not ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+        return docs.withColumn("_n", F.col(key).cast("long"))
+    marked = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(text))
+    numbers = cut(marked.select("_id", "_mark").distinct().orderBy(F.col("_id").asc_nulls_first(), "_mark").select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), F.monotonically_increasing_id().alias("_n")))
+    return marked.join(numbers, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))).drop("_id", "_mark", "_i", "_m")
+
+
+def token_sets(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each line with a word: id, pos, t (its tokens' hashes), k1 and k2 (hashes of the set)."""
+    every = docs.where(F.col(text).isNotNull()).select(F.col("_n").alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    sets = every.where(F.col("line") != "").select("id", "pos", F.sort_array(_tokens(F.col("line"))).alias("t")).where(F.size("t") > 0)
+    return cut(sets.select("id", "pos", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")))
+
+
+def rarity(sets: DataFrame) -> np.ndarray:
+    """For each hash bucket a number from 0 to 127, larger if its tokens are more frequent; over all lines."""
+    counts = sets.select(F.explode("t").alias("h")).select(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count().toArrow()  # BUCKETS rows at most
+    table = np.zeros(BUCKETS)
+    table[counts["b"].to_numpy()] = counts["count"].to_numpy()
+    return np.minimum(127, np.floor(3 * np.log2(1 + table))).astype(np.int8)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    marked = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("mark"), F.split(text, "\n").alias("lines"))
-    return marked.select("id", "mark", F.posexplode("lines").alias("pos", "line"))
+def _when_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its size, counted here, is within the bound."""
+    return F.broadcast(df) if df.count() * 24 <= MOST_BROADCAST else df
 
 
-def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """One byte for each hash bucket, larger for buckets whose tokens are more frequent, counted over all texts."""
-    words = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(F.lower(F.col(text)), _SPACE)).alias("w"))
-    counts = words.select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count().collect()  # BUCKETS rows at most
-    table = np.zeros(BUCKETS)
-    for r in counts:
-        table[r["b"]] = r["count"]
-    return np.minimum(127, np.floor(2.5 * np.log2(1 + table))).astype(np.int8)
-
-
-def features(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """A row for each line with a word: id, mark, pos, k1 and k2 (hashes of the set), n, prefix, b1, b2."""
-    table = F.lit(rarity(docs, text))
-    tokens = _lines(docs, key, text).select("id", "mark", "pos", _tokens(F.col("line")).alias("t")).where(F.size("t") > 0)
-    # rarity in the upper byte, the hash below: sorting these numbers is the global order
-    place = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
-    ranked = tokens.select("id", "mark", "pos", F.sort_array(F.transform("t", place)).alias("t"))
-    none = F.lit(0).cast("long")
-    bit = lambda a, h, upper: a.bitwiseOR(F.when(h.bitwiseAND(64) == upper, F.expr("1L")).otherwise(none) * F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int")))
-    n = F.size("t")
-    return ranked.select(
-        "id", "mark", "pos", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2"), n.alias("n"),
-        F.slice("t", F.lit(1), (n - F.ceil(least * n - 1e-9) + 1).cast("int")).alias("prefix"),
-        F.aggregate("t", none, lambda a, h: bit(a, h, 0)).alias("b1"), F.aggregate("t", none, lambda a, h: bit(a, h, 64)).alias("b2"),
-    )
+def _may_match(least: float, x: str, y: str) -> Column:
+    """Length, positional and parity filters on two classes."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
+    return (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-9)
 
 
-def _order(id_: str, mark: str, pos: str) -> Column:
-    big = "decimal(38,0)"
-    return (F.coalesce(F.col(id_), F.lit(-(1 << 63))).cast(big) * F.lit(10 ** 18).cast("decimal(19,0)") + F.pmod(mark, F.lit(10 ** 8)).cast(big) * F.lit(10 ** 10).cast("decimal(11,0)") + F.col(pos).cast(big)).cast(big)
-
-
-def _may_match(least: float) -> Column:
-    """Length, positional and bit map filters on the sides x and y, which share a prefix token."""
-    n, m = F.col("x.n"), F.col("y.n")
-    need = F.ceil(least / (1 + least) * (n + m) - 1e-9)
-    differ = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    return (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (1 + F.least(n - F.col("x.at"), m - F.col("y.at")) - 1 >= need) & (n + m - differ >= 2 * need)
-
-
-def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """-> id, mark, pos of every line that goes."""
-    lines = cut(features(docs, key, text, least)).withColumn("o", _order("id", "mark", "pos"))
-    classes = lines.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.count("*").alias("many"))
-    classed = lines.join(classes, ["k1", "k2"])
-    copies = classed.where("o <> first").select("id", "mark", "pos")
-    # of each class its first line; numbers that grow with the order
-    firsts = cut(classed.where("o = first").orderBy("o").select(F.monotonically_increasing_id().alias("c"), "id", "mark", "pos", "n", "prefix", "b1", "b2"))
-    rows = firsts.select("c", "n", "b1", "b2", F.posexplode("prefix").alias("at", "token"))
-
-    # the first class of each token against the others
-    heads = rows.groupBy("token").agg(F.min("c").alias("c"), F.count("*").alias("f")).where("f > 1").select("token", "c")
-    heads = rows.join(heads, ["token", "c"])
-    shared = F.col("x.token") == F.col("y.token")
-    star = heads.alias("x").join(rows.alias("y"), shared & (F.col("x.c") < F.col("y.c")) & _may_match(least)).select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    near = cut(_verified(docs, firsts, cut(star), key, text, least))
-    left = rows.join(near.select("y").distinct(), F.col("c") == F.col("y"), "left_anti")
-    rest = rows.alias("x").join(left.alias("y"), shared & (F.col("x.c") < F.col("y.c")) & _may_match(least)).select(F.col("x.c").alias("x"), F.col("y.c").alias("y")).distinct()
-    rest = cut(rest.join(star, ["x", "y"], "left_anti"))
-    both = near.unionByName(_verified(docs, firsts, rest, key, text, least)).select("y").distinct()
-    # a class that goes takes all its lines with it: its copies go anyway
-    return copies.unionByName(firsts.join(both, F.col("c") == F.col("y"), "left_semi").select("id", "mark", "pos")).distinct()
-
-
-def _verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """Those of the (x, y) pairs whose token sets have the similarity."""
-    needed = cut(firsts.select("c", "id", "mark", "pos").join(pairs.select(F.col("x").alias("c")).union(pairs.select("y")).distinct(), "c", "left_semi"))
-    small = needed.count() * 40 <= MOST_BROADCAST
-    needed = F.broadcast(needed) if small else needed
-    found = _lines(docs, key, text).alias("l").join(needed.alias("n"), F.col("l.id").eqNullSafe(F.col("n.id")) & (F.col("l.mark") == F.col("n.mark")) & (F.col("l.pos") == F.col("n.pos")))
-    sets = cut(found.select("c", _tokens(F.col("line")).alias("t")).dropDuplicates(["c"]))
-    both = pairs.join(sets.select(F.col("c").alias("x"), F.col("t").alias("tx")), "x").join(sets.select(F.col("c").alias("y"), F.col("t").alias("ty")), "y")
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(xi, xp, yi, yp) pairs -> id, pos of the later line of those whose token sets have the similarity."""
+    pairs = cut(pairs)
+    needed = cut(pairs.select(F.col("xi").alias("i"), F.col("xp").alias("p")).union(pairs.select("yi", "yp")).distinct())
+    found = cut(sets.join(_when_small(needed), (F.col("id") == F.col("i")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "pos", "t").dropDuplicates(["id", "pos"]))
+    x, y = found.select(F.col("id").alias("xi"), F.col("pos").alias("xp"), F.col("t").alias("tx")), found.select(F.col("id").alias("yi"), F.col("pos").alias("yp"), F.col("t").alias("ty"))
+    both = pairs.join(x, ["xi", "xp"]).join(y, ["yi", "yp"])
     common = F.size(F.array_intersect("tx", "ty"))
-    return both.where(common >= least * (F.size("tx") + F.size("ty") - common) - 1e-9).select("x", "y")
+    return cut(both.where(common >= least * (F.size("tx") + F.size("ty") - common) - 1e-9).select(F.col("yi").alias("id"), F.col("yp").alias("pos")).distinct())
+
+
+def removals(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
+    """Numbered docs -> id (the document's number), pos of every line that goes."""
+    sets = token_sets(docs, text)
+    table = F.lit(rarity(sets))
+
+    big = "decimal(38,0)"
+    order = (F.col("id").cast(big) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast(big)).cast(big)
+    slim = sets.select("id", "pos", "k1", "k2", order.alias("o"))
+    classes = slim.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first <> last").select("k1", "k2", "first")
+    copies = cut(slim.join(classes, ["k1", "k2"]).where("o <> first").select("id", "pos").distinct())
+
+    place = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("byte")).cast("long"), 32).bitwiseOR(h.cast("long"))
+    # a token flips one bit of 128: a bit of its hash says in which of two numbers, the six below say which
+    parity = lambda side: F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(side(h), 6).bitwiseAND(1).cast("long"), h)))
+    n = F.size("t")
+    firsts = sets.join(_when_small(copies), ["id", "pos"], "left_anti").select(
+        "id", "pos", n.alias("n"), F.sort_array(F.transform("t", place)).alias("s"),
+        parity(lambda h: h).alias("b1"), parity(lambda h: F.bitwise_not(h)).alias("b2"))
+    rarer = F.transform(F.slice("s", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF))
+    firsts = cut(firsts.select(
+        "id", "pos", "n", "b1", "b2", F.transform(F.slice("s", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"), rarer.alias("r"),
+    ).select("id", "pos", "n", "b1", "b2", "prefix", F.xxhash64(F.lit(0), F.array_min("r"), F.lit(0)).alias("r1"), F.xxhash64(F.lit(1), F.array_max("r"), F.lit(0)).alias("r2")))
+
+    # the first class of each star key against the others
+    arms = firsts.select("id", "pos", "n", "b1", "b2", F.explode(F.array("r1", "r2")).alias("r"))
+    heads = arms.groupBy("r").agg(F.min(order).alias("first"), F.count("*").alias("f")).where("f > 1")
+    heads = arms.join(heads, "r").where(order == F.col("first")).select("r", "id", "pos", "n", "b1", "b2")
+    star = heads.alias("x").join(arms.alias("y"), (F.col("x.r") == F.col("y.r")) & _earlier() & _may_match(least, "x", "y")).select(*_pair()).distinct()
+    settled = _verified(star, sets, least)
+
+    # prefixes; `up` is the size that a partner may have, `limit` the same for classes that still look for one, else 0
+    closed = settled.withColumn("closed", F.lit(True))
+    up = F.floor(F.col("n") / least + 1e-9).cast("int")
+    rows = firsts.join(closed, ["id", "pos"], "left").select("id", "pos", "n", "b1", "b2", up.alias("up"), F.when(F.col("closed"), 0).otherwise(up).alias("limit"), F.posexplode("prefix").alias("at", "token"))
+    need = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    position = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
+    length = (F.col("x.n") <= F.col("y.limit")) & (F.col("y.n") <= F.col("x.up")) & (F.col("x.n") <= F.col("y.up")) & (F.col("x.limit") + F.col("y.limit") >= 1)
+    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier() & length & position & _may_match(least, "x", "y")).select(*_pair()).distinct()
+    return copies.unionByName(settled).unionByName(_verified(rest, sets, least)).distinct()
+
+
+def _earlier() -> Column:
+    return (F.col("x.id") < F.col("y.id")) | (F.col("x.id") == F.col("y.id")) & (F.col("x.pos") < F.col("y.pos"))
+
+
+def _pair() -> list[Column]:
+    return [F.col("x.id").alias("xi"), F.col("x.pos").alias("xp"), F.col("y.id").alias("yi"), F.col("y.pos").alias("yp")]
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
-    """docs -> key, mark (hash of the text), n_lines, removed (sorted line numbers from 0)."""
-    kind = docs.schema[key].dataType.simpleString()
-    gone = removals(docs, key, text, least).groupBy("id", F.col("mark").alias("m")).agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    every = docs.select(F.col(key).cast("long").alias("i"), F.xxhash64(text).alias("mark"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
-    return every.join(gone, F.col("i").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left").select(
-        F.col("i").cast(kind).alias(key), "mark", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    """docs -> key, n_lines, removed (sorted line numbers from 0)."""
+    docs = numbered(docs, key, text)
+    gone = removals(docs, text, least).groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    every = docs.select(key, F.col("_n").alias("id"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
+    return every.join(gone, "id", "left").select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with the lines that go taken out of the text; documents that lose every line with a word go."""
-    marked = docs.withColumn("_i", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(text))
-    gone = removals(docs, key, text, least).groupBy("id", "mark").agg(F.collect_list("pos").alias("_gone"))
-    joined = marked.join(gone, F.col("_i").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark")), "left")
+    marked = numbered(docs, key, text)
+    gone = removals(marked, text, least).groupBy(F.col("id").alias("_id")).agg(F.collect_list("pos").alias("_gone"))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_gone", k)), "\n")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).where(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    joined = marked.join(gone, F.col("_n") == F.col("_id"), "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    return joined.where(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
