@@ -34,7 +34,7 @@ from .graph import components
 SAMPLE = 20_000
 BLOCK = 4096
 RECALL = 0.9999
-PER_CELL = 48
+PER_CELL = 512
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
