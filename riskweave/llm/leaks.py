@@ -118,7 +118,9 @@ class Model:
         self.map = (basis * self.idf[:, None]).astype(np.float32)
         latent = np.stack([self.map[x].sum(axis=0) for _, x in self.passages])
         self.latent = (latent / np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))).astype(np.float32)
-        self.says = np.append(self.idf >= SAYS, False)  # the last: words that no item has
+        # every passage keeps words, also where its words are in many documents
+        least = min(float(self.idf[x].max()) for _, x in self.passages)
+        self.says = np.append(self.idf >= min(SAYS, least / 2), False)  # the last: words that no item has
         self.square = np.append(self.idf, self.idf.mean()).astype(np.float32) ** 2
 
     def scan(self, text: str | None) -> dict:

@@ -45,10 +45,11 @@ def choose_bands(least: float, recall: float, most: int = MOST_HASHES) -> tuple[
     """(bands, rows): as many rows as let `bands` bands of them, `most` hashes in all, reach the recall."""
     best = None
     for rows in range(1, most + 1):
-        miss = 1 - least ** rows
-        bands = max(1, math.ceil(math.log(1 - recall) / math.log(miss))) if 0 < miss < 1 else 1
-        if bands * rows <= most:
-            best = bands, rows
+        chance = least ** rows
+        bands = 1 if chance >= recall else math.ceil(math.log(1 - recall) / math.log1p(-chance))
+        if bands * rows > most:
+            break
+        best = bands, rows
     if best is None:
         raise ValueError("no bands reach this recall with so few hashes")
     return best
