@@ -34,13 +34,22 @@ NATIVE = {
     "SECRET": (r"\b[0-9a-f]{40}\b", lambda m: F.lit(0.9)),
 }
 
+#: What a text must have for a rule to match at all.
+HINTS = {
+    "EMAIL": lambda c: F.contains(c, F.lit("@")), "AWS_ACCESS_KEY": lambda c: F.contains(c, F.lit("AKIA")), "CREDIT_CARD": lambda c: c.rlike("[0-9]{16}"),
+    "IP_ADDRESS": lambda c: c.rlike(r"[0-9]\.[0-9]"), "PHONE": lambda c: c.rlike(r"\([0-9]"),
+}
+
 
 def findings(docs: DataFrame, text: str = "text", types: Iterable[str] | None = None) -> DataFrame:
     """A row for each match of the native rules: all of docs but the text, entity_type, value, confidence."""
 
     def of(t: str) -> Column:
         pattern, judge = NATIVE[t]
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(t).alias("entity_type"), m.alias("value"), judge(m).cast("double").alias("confidence")))
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        if t in HINTS:  # most texts have nothing of the kind; a search for its mark is cheaper than the pattern
+            found = F.when(HINTS[t](F.col(text)), found).otherwise(F.array().cast("array<string>"))
+        return F.transform(found, lambda m: F.struct(F.lit(t).alias("entity_type"), m.alias("value"), judge(m).cast("double").alias("confidence")))
 
     rows = [of(t) for t in NATIVE if types is None or t in types]
     return docs.select(*[c for c in docs.columns if c != text], F.explode(F.concat(*rows)).alias("f")).select("*", "f.*").drop("f").where("confidence is not null")
@@ -124,10 +133,19 @@ def calibrated(raw: float, tier: int) -> float:
     return min(1.0, max(FLOORS.get(tier, 0.0), raw))
 
 
+#: Types all of whose matches hold a digit, and what matches of others hold.
+WITH_DIGIT = frozenset("SSN CREDIT_CARD NPI DEA IBAN PHONE IP_ADDRESS DATE TIME DATE_DOB AGE ZIP ADDRESS CUSIP SEDOL ISIN LEI BANK_ROUTING MRN HEALTH_PLAN_ID PASSPORT DRIVERS_LICENSE STUDENT_ID CASE_NUMBER EMPLOYEE_ID CLAIM_NUMBER POLICY_NUMBER ENCOUNTER_ID CAGE_CODE GPA NHS_NUMBER A_NUMBER".split())
+HOLDS = {"EMAIL": "@", "URL": "://", "DATABASE_URL": "://", "JWT": "eyJ", "PRIVATE_KEY": "-----BEGIN", "GOOGLE_API_KEY": "AIza", "GITHUB_TOKEN": "gh", "SLACK_TOKEN": "xox", "STRIPE_KEY": "k_live_", "FIGI": "BBG", "ETHEREUM_ADDRESS": "0x", "BITCOIN_ADDRESS": "bc1", "CLASSIFICATION_MARKING": "//", "NAME_PROVIDER": "Dr"}
+_DIGIT = re.compile("[0-9]")
+
+
 def matches(text: str | None, compiled: list) -> list[dict]:
     """Spans of one text; of the rules of a type that find the same place the first wins."""
     out, seen = [], set()
+    digit = bool(text and _DIGIT.search(text))
     for k, rule, pattern in compiled if text else ():
+        if not digit and rule.type in WITH_DIGIT or HOLDS.get(rule.type, "") not in text:
+            continue
         for m in pattern.finditer(text):
             start, end = m.span(rule.group)
             if end <= start or (start, end, rule.type) in seen:
