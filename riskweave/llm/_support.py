@@ -46,11 +46,11 @@ def _remove(top: str) -> None:
         pass
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,7 +11,7 @@ line goes if an earlier line (by doc_id, then line number) has a similarity of a
      that has it.  This settles most of a large group of near copies with one comparison each.
   4. Prefix filter: two sets of n and m tokens with the similarity t share one of their n - ceil(t n) + 1 rarest
      tokens.  Classes that are not settled meet all earlier ones on these.  Length filter: m >= t n.  Positional
-     filter: what is left behind the shared token must suffice for the overlap t/(1+t) (n+m).  A 128-bit parity map
+     filter: what is left behind the shared token must suffice for the overlap t/(1+t) (n+m).  A 64-bit parity map
      of each set bounds the tokens that differ.
   5. Candidates are verified on their whole token sets.
 
@@ -33,6 +33,9 @@ BUCKETS = 1 << 18
 #: Keys of lines are broadcast up to this many bytes (24 a line); beyond, they are joined by shuffle.
 MOST_BROADCAST = 24 << 20
 
+#: Hashes of words are too many for a dictionary page: none is tried.
+PLAIN = {"parquet.enable.dictionary#t.list.element": "false"}
+
 _OTHER_SPACE = "\t\x0b\x0c\r"
 
 
@@ -42,8 +45,10 @@ def _tokens(line: Column) -> Column:
     odd = F.lit(False)
     for c in _OTHER_SPACE:
         odd = odd | F.contains(line, F.lit(c))
-    words = F.when(odd, F.split(low, r"[\x20\x09-\x0D]+")).otherwise(F.split(low, " "))
-    return F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
+    words = F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
+    blank = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    words = F.when(odd | blank, words).otherwise(F.split(low, " "))
+    return F.array_distinct(F.transform(words, lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -60,7 +65,7 @@ def token_sets(docs: DataFrame, text: str) -> DataFrame:
     """A row for each line with a word: id, pos, t (its tokens' hashes), k1 and k2 (hashes of the set)."""
     every = docs.where(F.col(text).isNotNull()).select(F.col("_n").alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     sets = every.where(F.col("line") != "").select("id", "pos", F.sort_array(_tokens(F.col("line"))).alias("t")).where(F.size("t") > 0)
-    return cut(sets.select("id", "pos", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")))
+    return cut(sets.select("id", "pos", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")), **PLAIN)
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -79,7 +84,7 @@ def _when_small(df: DataFrame) -> DataFrame:
 def _may_match(least: float, x: str, y: str) -> Column:
     """Length, positional and parity filters on two classes."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
+    differ = F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b")))
     return (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-9)
 
 
@@ -106,28 +111,27 @@ def removals(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataF
     copies = cut(slim.join(classes, ["k1", "k2"]).where("o <> first").select("id", "pos").distinct())
 
     place = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("byte")).cast("long"), 32).bitwiseOR(h.cast("long"))
-    # a token flips one bit of 128: a bit of its hash says in which of two numbers, the six below say which
-    parity = lambda side: F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(side(h), 6).bitwiseAND(1).cast("long"), h)))
+    # a token flips one bit of 64, which the last six bits of its hash name
+    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
     n = F.size("t")
     firsts = sets.join(_when_small(copies), ["id", "pos"], "left_anti").select(
-        "id", "pos", n.alias("n"), F.sort_array(F.transform("t", place)).alias("s"),
-        parity(lambda h: h).alias("b1"), parity(lambda h: F.bitwise_not(h)).alias("b2"))
+        "id", "pos", n.alias("n"), F.sort_array(F.transform("t", place)).alias("s"), parity.alias("b"))
     rarer = F.transform(F.slice("s", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF))
     firsts = cut(firsts.select(
-        "id", "pos", "n", "b1", "b2", F.transform(F.slice("s", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"), rarer.alias("r"),
-    ).select("id", "pos", "n", "b1", "b2", "prefix", F.xxhash64(F.lit(0), F.array_min("r"), F.lit(0)).alias("r1"), F.xxhash64(F.lit(1), F.array_max("r"), F.lit(0)).alias("r2")))
+        "id", "pos", "n", "b", F.transform(F.slice("s", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"), rarer.alias("r"),
+    ).select("id", "pos", "n", "b", "prefix", F.xxhash64(F.lit(0), F.array_min("r"), F.lit(0)).alias("r1"), F.xxhash64(F.lit(1), F.array_max("r"), F.lit(0)).alias("r2")))
 
     # the first class of each star key against the others
-    arms = firsts.select("id", "pos", "n", "b1", "b2", F.explode(F.array("r1", "r2")).alias("r"))
+    arms = firsts.select("id", "pos", "n", "b", F.explode(F.array("r1", "r2")).alias("r"))
     heads = arms.groupBy("r").agg(F.min(order).alias("first"), F.count("*").alias("f")).where("f > 1")
-    heads = arms.join(heads, "r").where(order == F.col("first")).select("r", "id", "pos", "n", "b1", "b2")
+    heads = arms.join(heads, "r").where(order == F.col("first")).select("r", "id", "pos", "n", "b")
     star = heads.alias("x").join(arms.alias("y"), (F.col("x.r") == F.col("y.r")) & _earlier() & _may_match(least, "x", "y")).select(*_pair()).distinct()
     settled = _verified(star, sets, least)
 
     # prefixes; `up` is the size that a partner may have, `limit` the same for classes that still look for one, else 0
     closed = settled.withColumn("closed", F.lit(True))
     up = F.floor(F.col("n") / least + 1e-9).cast("int")
-    rows = firsts.join(closed, ["id", "pos"], "left").select("id", "pos", "n", "b1", "b2", up.alias("up"), F.when(F.col("closed"), 0).otherwise(up).alias("limit"), F.posexplode("prefix").alias("at", "token"))
+    rows = firsts.join(closed, ["id", "pos"], "left").select("id", "pos", "n", "b", up.alias("up"), F.when(F.col("closed"), 0).otherwise(up).alias("limit"), F.posexplode("prefix").alias("at", "token"))
     need = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     position = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
     length = (F.col("x.n") <= F.col("y.limit")) & (F.col("y.n") <= F.col("x.up")) & (F.col("x.n") <= F.col("y.up")) & (F.col("x.limit") + F.col("y.limit") >= 1)
@@ -147,7 +151,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", least: floa
     """docs -> key, n_lines, removed (sorted line numbers from 0)."""
     docs = numbered(docs, key, text)
     gone = removals(docs, text, least).groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    every = docs.select(key, F.col("_n").alias("id"), F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
+    every = docs.select(key, F.col("_n").alias("id"), F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("long").alias("n_lines"))
     return every.join(gone, "id", "left").select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
