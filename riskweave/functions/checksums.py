@@ -141,3 +141,36 @@ def seed_phrase(c: Column, words: list[str]) -> Column:
     """12, 15, 18, 21 or 24 words, four fifths of them in the list (a parameter)."""
     w = F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda x: x != "")
     return F.size(w).isin(12, 15, 18, 21, 24) & (F.size(F.filter(w, lambda x: x.isin(*words))) >= 0.8 * F.size(w))
+
+
+def _check10(d: Column, weights: list[int]) -> Column:
+    """The last digit makes the weighted sum of those before it a multiple of ten."""
+    n = len(weights)
+    total = _weighted(F.slice(_numbers(d), 1, n), weights)
+    return (10 - total % 10) % 10 == F.substring(d, n + 1, 1).cast("int")
+
+
+def _sure(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False))
+
+
+def ups_tracking(c: Column) -> Column:
+    """1Z, 15 letters or digits, a check digit; letters count as A=2, B=3 and so on, modulo ten; I and O are not used."""
+    x = F.upper(F.replace(c, F.lit(" ")))
+    plain = F.translate(F.substring(x, 3, 16), "ABCDEFGHJKLMNPQRSTUVWXYZ", "234567891234578912345678")
+    return _sure(x.rlike("^1Z[0-9A-HJ-NP-Z]{15}[0-9A-HJ-NP-Z]$") & _check10(plain, [1, 2] * 7 + [1]))
+
+
+def fedex_tracking(c: Column) -> Column:
+    """12 digits (modulo 11), 15 from 96, 20, or 22 from 92 (modulo 10)."""
+    d = digits(c)
+    express = _weighted(F.slice(_numbers(d), 1, 11), [1, 7, 3] * 3 + [1, 7]) % 11 % 10 == F.substring(d, 12, 1).cast("int")
+    return _sure(F.when(F.length(d) == 12, express).when(d.rlike("^96[0-9]{13}$"), _check10(d, [1] * 14)).when(F.length(d) == 20, _check10(d, [3, 1] * 9 + [3])).when(d.rlike("^92[0-9]{20}$"), _check10(d, [3, 1] * 10 + [3])))
+
+
+def usps_tracking(c: Column) -> Column:
+    """20 or 22 digits (modulo 10), or two letters, nine digits (modulo 11) and two letters."""
+    x, d = F.upper(F.replace(c, F.lit(" "))), digits(c)
+    rest = 11 - _weighted(F.slice(_numbers(F.substring(x, 3, 8)), 1, 8), [8, 6, 4, 2, 3, 5, 9, 7]) % 11
+    abroad = F.when(rest == 10, 0).when(rest == 11, 5).otherwise(rest) == F.substring(x, 11, 1).cast("int")
+    return _sure(F.when(x.rlike("^[A-Z]{2}[0-9]{9}[A-Z]{2}$"), abroad).when(F.length(d) == 20, _check10(d, [3, 1] * 9 + [3])).when(F.length(d) == 22, _check10(d, [3, 1] * 10 + [3])))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskweave.functions import checksums, text
-from riskweave.operators import audit, detect, exposure, filterlang, labels, merge, quality, report, score, spans, triggers
+from riskweave.operators import audit, cleanup, detect, exposure, filterlang, labels, merge, quality, report, score, spans, triggers
 from riskweave.sources import files, findings
 from riskweave.streaming import watch
 
@@ -163,3 +163,36 @@ def test_text(spark):
     assert one(spark, text.redacted(F.lit("abcdef"))) == "ab**ef"
     assert one(spark, text.value_hash(F.lit("123-45-6789"), F.lit("SSN"))) == one(spark, text.value_hash(F.lit("123 45 6789"), F.lit("SSN")))
     assert one(spark, text.normalised(F.lit("ｐ​aypal"))) == "paypal"
+
+
+@pytest.mark.parametrize("f,good,bad", [
+    (checksums.ups_tracking, "1Z999AA10123456784", "1Z999AA10123456785"), (checksums.usps_tracking, "EE123456785US", "EE123456784US"),
+    (checksums.usps_tracking, "9400 1000 0000 0000 0000 06", "9400 1000 0000 0000 0000 07"), (checksums.fedex_tracking, "961234567890126", "961234567890125"), (checksums.fedex_tracking, "986578788855", "986578788854"),
+])
+def test_tracking_numbers(spark, f, good, bad):
+    got = spark.range(1).select(f(F.lit(good)).alias("a"), f(F.lit(bad)).alias("b"), f(F.lit("")).alias("c"), f(F.lit(None).cast("string")).alias("d")).first()
+    assert tuple(got) == (_check_digit(good) == good, _check_digit(bad) == bad, False, False)
+
+
+def _check_digit(x):
+    """x with the check digit that its format asks for, by plain arithmetic."""
+    d = x.replace(" ", "")
+    if d.startswith("1Z"):
+        n = [int(c) if c.isdigit() else (ord(c) - 63) % 10 for c in d[2:17]]
+        return x[:-1] + str(-sum(v * (1 + k % 2) for k, v in enumerate(n)) % 10)
+    if d[0].isalpha():
+        r = 11 - sum(int(c) * w for c, w in zip(d[2:10], (8, 6, 4, 2, 3, 5, 9, 7))) % 11
+        return x[:10] + str({10: 0, 11: 5}.get(r, r)) + x[11:]
+    if len(d) == 12:
+        return x[:-1] + str(sum(int(c) * w for c, w in zip(d[:11], (1, 7, 3) * 4)) % 11 % 10)
+    weights = [1] * 14 if len(d) == 15 else [3, 1] * 11
+    return x[:-1] + str(-sum(int(c) * w for c, w in zip(d[:-1], weights)) % 10)
+
+
+def test_span_cleanup(spark):
+    rows = [
+        (1, 10, 22, " John Smith ", "NAME"), (2, 0, 8, "a@b.com.", "NAME_PATIENT"), (3, 5, 17, "123-45-6789.", "SSN"), (4, 0, 14, "Ann Lee\nPANELS", "NAME"),
+        (5, 0, 2, "K.", "NAME"), (6, 0, 3, "   ", "SSN"), (7, 0, 6, "Sr. X.", "ADDRESS"), (8, 3, 4, None, "NAME"), (9, 0, 5, "A\nBCD", "NAME"),
+    ]
+    got = {r.id: tuple(r)[1:] for r in cleanup.clean(spark.createDataFrame(rows, "id int, start int, end int, text string, entity_type string")).collect()}
+    assert got == {1: (11, 21, "John Smith", "NAME"), 2: (0, 7, "a@b.com", "EMAIL"), 3: (5, 16, "123-45-6789", "SSN"), 4: (0, 7, "Ann Lee", "NAME"), 7: (0, 6, "Sr. X.", "ADDRESS"), 8: (3, 4, None, "NAME")}
