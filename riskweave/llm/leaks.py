@@ -1,27 +1,23 @@
-"""Benchmark decontamination by latent semantic retrieval.
+"""Benchmark decontamination by an exact overlap filter and word sequences.
 
   1. The words of all benchmark items are the vocabulary; in how many documents each occurs is counted over all
      documents, which gives its inverse document frequency (IDF).
-  2. Items are cut into passages of PASSAGE words at most.  Their TF-IDF matrix A gets a randomised SVD: A'A times a
-     random matrix is summed over the passages' partitions, orthogonalised, and this is repeated POWER times.  The
-     result is a basis of `rank` latent dimensions.
-  3. Every document is read whole as overlapping windows of 2 blocks of BLOCK words for short passages and of 3 for
-     others.  Window and passage vectors are projected; a window whose cosine with a passage reaches COSINE is a
-     candidate for the passage's item.  (In the window's norm all its words count; words of so small an IDF that they
-     say nothing are left out of the projection.)
-  4. A candidate is checked on the words themselves: the text around the window must hold words with WEIGHT of the
-     item's IDF; the longest common subsequence (LCS) of both must hold LEAST of the item's words, within a stretch not
-     much longer than the item; and the item's answer, its last sentence or what follows its last answer mark, must be in it to at least ANSWER.
-
-The benchmark is a query set, taken in groups of GROUP items in id order; the vocabulary, basis and passages of one
-group are what is sent to the executors.  Rows: null text of a document is clean; items without a word match nothing;
+  2. A text leaks an item if a stretch of it, not much longer than the item, holds LEAST of the item's words as a common
+     subsequence (all of them if the item has fewer than 8), and ANSWER of the item's answer, its last sentence or what
+     follows its last answer mark; the text around the stretch must hold words with WEIGHT of the item's IDF.
+  3. An item's signature is its rarest words: all but the commonest ones, of which FEW or more of the words needed cannot
+     come.  So a stretch that leaks the item holds at least that many places of signature words; whatever has them close
+     enough together is a candidate.  Nothing that step 2 finds is lost, however many items there are.
+  4. Every document is read whole; for its candidates each stretch that starts with a word of the item is looked at.
+
+The benchmark is a query set, taken in groups of some GROUP items; the vocabulary, signatures and items of one group are
+what is sent to the executors.  Rows: null text of a document is clean; items without a word match nothing;
 items that repeat are all reported; an empty benchmark leaves all clean; null item_id is reported as an empty name.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -32,17 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 16
-PASSAGE = 48
-RANK = 64
-POWER = 2
-SHORT = 26
-SAYS = 1.0
-COSINE = 0.25
+FEW = 0.15
+AROUND = 48
 WEIGHT = 0.5
 LEAST = 0.6
 ANSWER = 0.5
 GROUP = 4000
+PART = 1 << 14
 
 _WORD = re.compile(r"\w+")
 _ANSWER = re.compile(r"(?:answer|antwort|réponse|respuesta|solution)\s*[:=]", re.I)
@@ -82,114 +74,111 @@ def lcs(a: list, b: list) -> int:
 
 
 class Item:
-    __slots__ = ("name", "words", "answer", "need", "counts", "known", "total")
+    __slots__ = ("name", "words", "answer", "need", "counts", "known", "total", "width", "signature", "few")
 
-    def __init__(self, name, text: str, vocabulary: dict):
+    def __init__(self, name, text: str, vocabulary: dict, idf: np.ndarray):
         self.name = name
         self.words = [vocabulary[w] for w in words(text)]
         self.answer = [vocabulary[w] for w in answer_of(text)]
         n = len(self.words)
         self.need = n if n < 8 else -int(-LEAST * n // 1)
-        self.counts = Counter(self.words)
-        self.known = frozenset(self.words)
+        self.width = n + max(4, n // 2)
+        counts = self.counts = Counter(self.words)
+        self.known = frozenset(counts)
+        self.total = float(idf[list(counts)].sum())
+        most = self.need - max(1, int(FEW * n))  # so many of the words needed may be common ones
+        rest, self.signature = 0, []
+        for w in sorted(counts, key=lambda w: (idf[w], w)):
+            if not self.signature and rest + counts[w] <= most:
+                rest += counts[w]
+            else:
+                self.signature.append(w)
+        self.few = self.need - rest
 
 
 class Model:
-    """Vocabulary, basis, passages and items of one group."""
+    """Vocabulary, items and their signatures, of one group."""
 
     def __init__(self, items: list[tuple], frequency: dict[str, int], n_docs: int):
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, t in items for w in words(t)}))}
-        self.items = [Item(name, text, self.vocabulary) for name, text in items if words(text)]
         self.idf = np.array([np.log((1 + n_docs) / (1 + frequency.get(w, 0))) + 0.05 for w in self.vocabulary], np.float64)
         self.weights = self.idf.tolist()
-        for x in self.items:
-            x.total = float(self.idf[list(x.known)].sum())
-        self.passages = [(k, x.words[at: at + PASSAGE]) for k, x in enumerate(self.items) for at in range(0, max(1, len(x.words) - BLOCK + 1), PASSAGE)]
-        self.passages.sort(key=lambda x: len(x[1]) > SHORT)
-        self.owner = np.array([k for k, _ in self.passages])
-        self.short = sum(len(x) <= SHORT for _, x in self.passages)
-
-    def tfidf(self, passage: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        at, n = np.unique(passage, return_counts=True)
-        value = n * self.idf[at]
-        return at, value / max(1e-12, np.sqrt((value * value).sum()))
-
-    def project(self, basis: np.ndarray) -> None:
-        self.map = (basis * self.idf[:, None]).astype(np.float32)
-        latent = np.stack([self.map[x].sum(axis=0) for _, x in self.passages])
-        self.latent = (latent / np.maximum(1e-12, np.linalg.norm(latent, axis=1, keepdims=True))).astype(np.float32)
-        # every passage keeps words, also where its words are in many documents
-        least = min(float(self.idf[x].max()) for _, x in self.passages)
-        self.says = np.append(self.idf >= min(SAYS, least / 2), False)  # the last: words that no item has
-        self.square = np.append(self.idf, self.idf.mean()).astype(np.float32) ** 2
+        self.items = [Item(name, text, self.vocabulary, self.idf) for name, text in items if words(text)]
+        places = sorted((w, k) for k, x in enumerate(self.items) for w in x.signature)
+        self.owner = np.array([k for _, k in places], np.int64)  # the items of each word's signature, word by word
+        self.size = np.bincount(np.array([w for w, _ in places], np.int64), minlength=len(self.vocabulary) + 1)  # the last: words that no item has
+        self.first = np.cumsum(self.size) - self.size
+        self.few = np.array([x.few for x in self.items], np.int64)
+        self.width = np.array([x.width for x in self.items], np.int64)
+        self.widest = int(self.width.max(initial=0))
+        self.known = np.zeros(len(self.vocabulary) + 1, bool)  # of the item that is looked at
+
+    def candidates(self, codes: np.ndarray) -> np.ndarray:
+        """Items with enough places of signature words within a stretch."""
+        at = np.flatnonzero(self.size[codes])
+        code = codes[at]
+        size = self.size[code]
+        item = self.owner[np.repeat(self.first[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        enough = np.bincount(item, minlength=len(self.items)) >= self.few
+        some = np.flatnonzero(enough[item])
+        if not len(some):
+            return some
+        item, at = item[some], np.repeat(at, size)[some]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], at[order]
+        last = np.arange(len(item)) + self.few[item] - 1
+        inside = np.flatnonzero(last < len(item))
+        last, item_of = last[inside], item[inside]
+        return np.unique(item_of[(item[last] == item_of) & (at[last] - at[inside] < self.width[item_of])])
 
     def scan(self, text: str | None) -> dict:
         """Item number -> share of its words that the text has, for the items that the text leaks."""
         found = words(text)
         if not found:
             return {}
-        other = len(self.vocabulary)
-        get = self.vocabulary.get
-        codes = np.array(list(map(get, found, repeat(other))), np.int64)
-        best: dict = {}
-        done: dict = {}
-        for start in range(0, len(codes), 1 << 16):  # very long texts by parts, which overlap by two blocks
-            base = max(0, start - 2 * BLOCK)
-            part = codes[base: start + (1 << 16)]
-            blocks = -(-len(part) // BLOCK)
-            energy = np.zeros(blocks + 2, np.float32)
-            energy[:blocks] = np.add.reduceat(self.square[part], np.arange(0, len(part), BLOCK))
-            at = np.flatnonzero(self.says[part])
-            if not len(at):
-                continue
-            some, first = np.unique(at // BLOCK, return_index=True)
-            sums = np.zeros((blocks + 2, self.map.shape[1]), np.float32)
-            sums[some] = np.add.reduceat(self.map[part[at]], first, axis=0)
-            for width, low, high in ((2, 0, self.short), (3, self.short, len(self.latent))):
-                if low == high:
-                    continue
-                last = max(1, blocks - width + 1)
-                windows, size = sums[:last].copy(), energy[:last].copy()
-                for k in range(1, width):
-                    windows += sums[k: k + last]
-                    size += energy[k: k + last]
-                at, which = np.nonzero(windows @ self.latent[low:high].T >= COSINE * np.sqrt(np.maximum(size, 1e-9))[:, None])
-                for w, p in zip(at.tolist(), self.owner[low:high][which].tolist()):
-                    item = self.items[p]
-                    n = len(item.words)
-                    left = max(0, base + w * BLOCK - n)
-                    right = min(len(codes), base + (w + width) * BLOCK + n)
-                    if right > done.get(p, 0):
-                        share = self.check(item, codes[left:right])
-                        if share:
-                            best[p] = max(best.get(p, 0.0), share)
-                            done[p] = right
-        return best
-
-    def check(self, item: Item, region: np.ndarray) -> float:
-        region = region.tolist()
-        common = item.known.intersection(region)
-        if len(common) < 2 and len(item.known) > 2 or sum(map(self.weights.__getitem__, common)) < WEIGHT * item.total:
-            return 0.0
-        have = Counter(region)
-        if sum(min(n, have[w]) for w, n in item.counts.items()) < item.need:
-            return 0.0
+        codes = np.array(list(map(self.vocabulary.get, found, repeat(len(self.vocabulary)))), np.int64)
+        some: set = set()
+        for start in range(0, len(codes), PART):  # very long texts by parts, which overlap by a stretch
+            some.update(self.candidates(codes[start: start + PART + self.widest]).tolist())
+        shares = {k: self.check(self.items[k], codes) for k in sorted(some)}
+        return {k: share for k, share in shares.items() if share}
+
+    def check(self, item: Item, codes: np.ndarray) -> float:
         n = len(item.words)
-        known = item.counts
-        places = [k for k, w in enumerate(region) if w in known]
-        width = n + max(4, n // 2)
-        most = 0
-        step = max(1, n // 4)
-        start = places[0]
-        while True:  # stretches of 1.5 times the item's length
-            part = [region[k] for k in places[bisect_left(places, start): bisect_left(places, start + width)]]
-            if len(part) >= item.need:
-                common = lcs(item.words, part)
-                if common > most and common >= item.need and lcs(item.answer, part) >= ANSWER * len(item.answer):
+        mine = list(item.known)
+        self.known[mine] = True
+        places = np.flatnonzero(self.known[codes])
+        self.known[mine] = False
+        self.known[item.signature] = True
+        few = np.append(0, np.cumsum(self.known[codes[places]]))
+        self.known[item.signature] = False
+        ends = np.searchsorted(places, places + item.width)
+        starts = np.arange(len(places))
+        starts = np.flatnonzero((ends - starts >= item.need) & (few[ends] - few[starts] >= item.few))
+        seen = codes[places].tolist()
+        most = low = high = shared = 0
+        free = item.counts.copy()  # how often the stretch may still hold each word
+        for k, end in zip(starts.tolist(), ends[starts].tolist()):
+            if k >= high:
+                free, low, high, shared = item.counts.copy(), k, k, 0
+            for w in seen[high: end]:
+                free[w] -= 1
+                shared += free[w] >= 0
+            for w in seen[low: k]:
+                shared -= free[w] >= 0
+                free[w] += 1
+            low, high = k, end
+            if shared < item.need or shared <= most:
+                continue
+            part = seen[k: end]
+            common = lcs(item.words, part)
+            if common > most and common >= item.need and lcs(item.answer, part) >= ANSWER * len(item.answer):
+                around = AROUND + 2 * n
+                held = item.known.intersection(codes[max(0, places[k] - around): places[k] + around].tolist())
+                if (len(held) >= 2 or len(item.known) <= 2) and sum(map(self.weights.__getitem__, held)) >= WEIGHT * item.total:
                     most = common
-            if start + width > places[-1] or most == n:
-                break
-            start += step
+                    if most == n:
+                        break
         return most / n
 
 
@@ -208,36 +197,7 @@ def _counts(docs: DataFrame, vocabulary: frozenset) -> tuple[dict[str, int], int
     return found, found.pop(None, 0) or 0
 
 
-def _basis(benchmark: DataFrame, model: Model, names: list, rank: int) -> np.ndarray:
-    """Randomised SVD of the group's passages: right singular vectors, vocabulary x rank."""
-    rng = np.random.default_rng(23)
-    rank = max(1, min(rank, len(model.passages), len(model.vocabulary)))
-    spark = benchmark.sparkSession
-    q = rng.standard_normal((len(model.vocabulary), rank + 8))
-    rows = spark.createDataFrame([(k,) for k in range(len(model.passages))], "k int").repartition(max(1, min(64, len(model.passages) // 256)))
-    shared = spark.sparkContext.broadcast(model)
-    for _ in range(POWER + 1):
-        q = np.linalg.qr(q)[0]
-        right = spark.sparkContext.broadcast(q)
-
-        def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(right.value)
-            for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    at, value = shared.value.tfidf(shared.value.passages[k][1])
-                    total[at] += np.outer(value, value @ right.value[at])
-            some = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["i", "v"])
-
-        y = np.zeros_like(q)
-        for r in rows.mapInArrow(gram, "i long, v array<double>").toLocalIterator():
-            y[r["i"]] += r["v"]
-        q = y
-    u, s, _ = np.linalg.svd(q, full_matrices=False)
-    return u[:, :rank]
-
-
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text", rank: int = RANK, group: int = GROUP) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "text", group: int = GROUP) -> DataFrame:
     """docs -> key, row (tells apart rows that share the key), contaminated, n_items, items (sorted, comma-joined), share (largest)."""
     plain = docs.select(key, F.xxhash64(text).alias("row"), F.col(text).cast("string").alias("_text"))
     clean = plain.drop("_text").schema.add("items", T.ArrayType(T.StringType())).add("share", "double")
@@ -252,7 +212,6 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         if model.items:
             frequency, n_docs = _counts(plain.select("_text"), frozenset(model.vocabulary))
             model = Model(sorted(part), frequency, n_docs)
-            model.project(_basis(benchmark, model, part, rank))
         shared = docs.sparkSession.sparkContext.broadcast(model)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

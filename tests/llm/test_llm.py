@@ -215,6 +215,48 @@ def test_leaks(spark, odd, none):
     assert leaks.find(none, bench).count() == 0 and not any(r.contaminated for r in leaks.find(odd, bench.limit(0)).collect())
 
 
+def _leaks_by_force(texts, bench):
+    """Every stretch of every text against every item."""
+    frequency = Counter(w for t in texts for w in set(leaks.words(t)))
+    idf = lambda ws: sum(math.log((1 + len(texts)) / (1 + frequency[w])) + 0.05 for w in ws)
+    out = []
+    for t in texts:
+        w, hit = leaks.words(t), set()
+        for k, b in bench.items():
+            x, answer = leaks.words(b), leaks.answer_of(b)
+            n, known = len(x), set(x)
+            need, width, around = n if n < 8 else math.ceil(leaks.LEAST * n), n + max(4, n // 2), leaks.AROUND + 2 * n
+            for at in range(len(w)):
+                part = w[at: at + width]
+                if w[at] in known and sum((Counter(part) & Counter(x)).values()) >= need and leaks.lcs(x, part) >= need and leaks.lcs(answer, part) >= leaks.ANSWER * len(answer):
+                    held = known & set(w[max(0, at - around): at + around])
+                    if (len(held) >= 2 or len(known) <= 2) and idf(held) >= leaks.WEIGHT * idf(known):
+                        hit.add(k)
+                        break
+        out.append(hit)
+    return out
+
+
+def test_leaks_of_many_items_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    pick = lambda n: rng.choice(vocabulary, n, p=np.arange(3000, 0, -1) / 4501500).tolist()
+    bench = {k: " ".join(pick(int(rng.integers(3, 70)))) + ". " + " ".join(pick(4)) for k in range(400)}
+    texts = []
+    for k in range(120):
+        x = leaks.words(bench[k])
+        share = 0.0 if k % 4 == 0 else 0.3 if k % 4 < 3 else 0.5
+        changed = [w if rng.random() > share else "other" for w in x[:-4]] + x[-4:]
+        texts.append(" ".join(pick(60) + changed + pick(60)))
+    want = _leaks_by_force(texts, bench)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(bench.items()), "item_id long, text string")
+    for group in (4000, 150):
+        got = {r.doc_id: {int(x) for x in r["items"].split(",") if x} for r in leaks.find(docs, items, group=group).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+    assert sum(k in hit for k, hit in enumerate(want)) >= 50 and all(k in want[k] for k in range(0, 120, 4))
+
+
 def test_lcs():
     def plain(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
