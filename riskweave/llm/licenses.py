@@ -3,9 +3,9 @@
 Base labels come from phrases: the places where a phrase's words stand one after another.  The join adds labels: all
 tokens of the templates are ordered by how many documents hold them; a template's prefix is its |T| - ceil(t |T|) + 1
 rarest tokens, and a block that holds at least t of the template holds one of these.  The places of prefix tokens are
-the candidates; a block is the words of one line within |T| words of such a place (longer lines are looked at in such
-blocks, shorter ones whole).  Length filter: blocks with fewer than ceil(t |T|) words fall out; positional filter: so do
-those whose k-th prefix token leaves fewer than that many tokens behind it.  Then the containment is counted in full.
+the candidates; a block is the words of the text within |T| words of such a place, also over line ends, as notices are
+wrapped.  Length filter: blocks with fewer than ceil(t |T|) words fall out; positional filter: so do those whose k-th
+prefix token leaves fewer than that many tokens behind it.  Then the containment is counted in full.
 
 Words are the runs of ASCII letters and digits and of all other characters beyond ASCII, A-Z lower-cased.  Null text
 is empty; texts are read whole; repeated rows are rows like others; extra columns are ignored.  Templates and phrases
@@ -98,19 +98,10 @@ class Scanner:
                     starts.append(k - at)
                     labels.add(label)
         found, score = set(labels), 1.0 if labels else 0.0
-        lines = None
         for k in places:
             for tokens, need, length, behind, label in self.prefixes.get(w[k], ()):
-                if behind < need:
-                    continue
-                if lines is None:  # first word of each line, and the end
-                    ends = [0]
-                    for line in text.split("\n"):
-                        ends.append(ends[-1] + len(words(line)))
-                    lines = ends
-                low = max(_last(lines, k), k - length)
-                high = min(_next(lines, k), k + length + 1)
-                if high - low < need:
+                low, high = max(0, k - length), k + length + 1
+                if behind < need or min(high, len(w)) - low < need:
                     continue
                 share = len(tokens.intersection(w[low:high]))
                 if share >= need:
@@ -119,19 +110,6 @@ class Scanner:
         return len(w), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(found)), score
 
 
-def _last(ends: list[int], k: int) -> int:
-    from bisect import bisect_right
-
-    return ends[bisect_right(ends, k) - 1]
-
-
-def _next(ends: list[int], k: int) -> int:
-    from bisect import bisect_right
-
-    at = bisect_right(ends, k)
-    return ends[at] if at < len(ends) else ends[-1]
-
-
 def scan(docs: DataFrame, key: tuple = ("doc_id",), text: str = "text", phrases: dict = PHRASES, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs -> the key columns and RESULT."""
     tokens = sorted({w for x in [*phrases, *(t for t, _ in templates)] for w in x.split()})

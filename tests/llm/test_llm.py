@@ -122,6 +122,22 @@ def test_licenses(spark, odd, none):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
 
 
+def test_licenses_of_wrapped_notices(spark):
+    filler = [f"w{k}" for k in range(40)]
+    texts, want = [], []
+    for template, label in licenses.TEMPLATES:
+        w = template.split()
+        for width in (4, 8, 12):
+            texts.append("\n".join(" * " + " ".join(x[k: k + width]) for x in (filler, w, filler) for k in range(0, len(x), width)))
+            want.append(label)
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at"
+    half = "This Source Code Form is subject to\n" + "\n".join(filler) + "\nthe terms of the Mozilla Public License"
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate([*texts, mpl, half])), "doc_id int, text string")).collect()}
+    for k, label in enumerate([*want, "mpl-2"]):
+        assert label in got[k].labels.split(",") and got[k].score >= 0.8
+    assert got[len(texts) + 1].labels == ""
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((40, 16))
