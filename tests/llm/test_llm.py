@@ -214,6 +214,17 @@ def test_pseudonyms(spark, odd, none):
     assert pseudonyms.pseudonymise(odd, "k").count() == odd.count() and pseudonyms.pseudonymise(none, "k").count() == 0
 
 
+def test_secrets_without_digits_and_of_any_length(spark):
+    long = "Ab" * 300
+    secrets = ["correcthorse", "AKIA" + "ABCDEFGH" * 2, "abcdefab" * 4, "x" * 128, "x" * 129, "y" * 192, "y" * 193, long]
+    texts = [f"password: {secrets[0]}", *secrets[1:3], *(f"api_key={x} end" for x in secrets[3:])]
+    got = {r.doc_id: r for r in pseudonyms.pseudonymise(spark.createDataFrame([*enumerate(texts), (99, "no secret here")], "doc_id int, text string"), "k").collect()}
+    for k, x in enumerate(secrets):
+        (found,) = got[k].found
+        assert (found.kind, found.old, len(found.new)) == ("secret", x, len(x)) and got[k].text == texts[k].replace(x, found.new) and x not in got[k].text
+    assert got[99].text == "no secret here" and got[99].found == []
+
+
 def test_permutation_is_one_to_one(spark):
     got = spark.range(35).select(pseudonyms.permute(F.col("id"), F.lit(5).cast("long"), F.lit(7).cast("long"), "k", "t").alias("x")).collect()
     assert sorted(r.x for r in got) == list(range(35))
