@@ -8,9 +8,10 @@ the density is its characters per tag, damped by its share of link text:
     density = C/T * log(C/Lc * T/Lt) / log(log(C/Nc * Lc + Lc_body/C_body * C + e))
 
 with C characters, T tags, Lc and Lt those inside links and Nc = C - Lc.  The node with the largest sum of its
-children's densities is the main one; the least density on the path from it to the body is the threshold.  Every node
-on or above the threshold marks, below it, the node with the largest sum; what is marked is the main text.  A marked
-node inside an article or main element marks that element, so that short headings and paragraphs stay.
+children's densities, direct text being a child, is the main one; the least density on the path from it to the body is
+the threshold.  Every node on or above the threshold is main text as a whole, and so are those around a direct text on or
+above it and the page's h1; beside the main node, groups of links alone are menus.  A marked node inside an article or
+main element marks that element, so that short headings and paragraphs stay.
 
 Blocks are trimmed, white space inside a block becomes one blank, blocks are joined by one line feed in page order.
 Null or empty html, and pages without text, give an empty text; null url and page_id are allowed; nothing is capped.
@@ -46,13 +47,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "never", "chars", "tags", "link_chars", "link_tags", "density", "total", "marked", "named")
+    __slots__ = ("tag", "parent", "children", "never", "chars", "tags", "link_chars", "link_tags", "density", "direct", "total", "marked", "named")
 
     def __init__(self, tag: str, parent: Node | None, never: bool = False, named: bool = False):
         self.tag, self.parent, self.never, self.named = tag, parent, never, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.total = 0.0
+        self.density = self.direct = self.total = 0.0
         self.marked = False
 
 
@@ -187,12 +188,19 @@ def _measure(order: list[Node]) -> None:
             x.link_chars, x.link_tags = x.chars, x.tags
     body = next((x for x in order if x.tag == "body"), order[0])
     share = body.link_chars / body.chars if body.chars else 0.0
+
+    def density(chars: int, tags: int, link_chars: int, link_tags: int) -> float:
+        tags, links, link_tags = max(1, tags), max(1, link_chars), max(1, link_tags)
+        base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+        return max(0.0, chars / tags * math.log(max(1.0, chars / links * tags / link_tags)) / max(1.0, math.log(base) + 1.0)) + chars / tags * 0.01
+
     for x in reversed(order):
         if x.chars:
-            tags, links, link_tags = max(1, x.tags), max(1, x.link_chars), max(1, x.link_tags)
-            base = math.log(x.chars / max(1, x.chars - x.link_chars) * x.link_chars + share * x.chars + math.e)
-            x.density = max(0.0, x.chars / tags * math.log(max(1.0, x.chars / links * tags / link_tags)) / max(1.0, math.log(base) + 1.0)) + x.chars / tags * 0.01
-        x.total = sum(c.density for c in x.children if isinstance(c, Node) and not c.never)
+            x.density = density(x.chars, x.tags, x.link_chars, x.link_tags)
+            own = sum(len("".join(c.split())) for c in x.children if isinstance(c, str))
+            if own:
+                x.direct = density(own, 1, own if x.tag == "a" else 0, x.tag == "a")
+        x.total = x.direct + sum(c.density for c in x.children if isinstance(c, Node) and not c.never)
 
 
 def _main(order: list[Node]) -> list[Node]:
@@ -203,17 +211,11 @@ def _main(order: list[Node]) -> list[Node]:
     while x and x.tag not in ("body", "#root"):
         threshold = min(threshold, x.density)
         x = x.parent
-    best: dict[int, Node] = {}
-    for x in reversed(order):
-        best[id(x)] = max([x, *(best[id(c)] for c in x.children if isinstance(c, Node) and not c.never)], key=lambda y: y.total)
-    marked = [best[id(x)] for x in order if x.density >= threshold and best[id(x)].total > 0 and x.tag not in INLINE]
-    out = [top]
-    for x in marked:
-        out.append(x)
+    out = [top] + [x for x in order if x is not top and x.tag not in INLINE and (x.density >= threshold or x.direct >= threshold or x.tag == "h1")]
     promoted = []
     for x in out:
-        while x.tag in INLINE or x.tag == "p":
-            x = x.parent
+        while x is top and top.tag in INLINE | {"p"} or x.tag in INLINE:
+            top = x = x.parent
         up, of = x, None
         while up:
             if up.tag in ("article", "main"):
@@ -221,7 +223,14 @@ def _main(order: list[Node]) -> list[Node]:
             up = up.parent
         promoted.append(of or x)
     if any(x.tag in ("article", "main") for x in promoted):  # an article says where the text is
-        promoted = [x for x in promoted if x.tag in ("article", "main")]
+        return [x for x in promoted if x.tag in ("article", "main")]
+    above, x = set(), top.parent
+    while x:
+        above.add(id(x))
+        x = x.parent
+    for x in order:  # groups of links beside the main node
+        if id(x.parent) in above and x is not top and id(x) not in above and x.tag not in INLINE and x.link_tags > 1 and x.chars - x.link_chars <= x.link_tags:
+            x.never = True
     return promoted
 
 

@@ -182,6 +182,21 @@ def test_html():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_of_plain_divs():
+    short, long = "A paragraph of fifty letters, or thereabouts, here", "A list entry that goes on. " * 8
+    post = f"<div class=post><p>{short} one</p><ul><li>{long}<li>{long}</ul><p>{short} two</p></div>"
+    want = [f"{short} one", long.strip(), long.strip(), f"{short} two"]
+    assert html_text.main_text(f"<body>{post}</body>").split("\n") == want
+    links = "<div><a href=a>Home</a> | <a href=b>News</a> | <a href=c>About</a></div>"
+    assert html_text.main_text(f"<body><div id=wrap>{links}{post}</div><div class=sidebar>side</div></body>").split("\n") == want
+    paragraphs = "".join(f"<p>{long}{k}</p>" for k in range(5))
+    entry = [f"{long}{k}" for k in range(5)]
+    for page in (f"<div class=post><h1>Title</h1><div class=entry>{paragraphs}</div><p>End.</p></div>", f"<div class=post><h1>Title</h1>{paragraphs}End.</div>"):
+        assert html_text.main_text(f"<body>{page}</body>").split("\n") == ["Title", *entry, "End."]
+    assert html_text.main_text(f"<body><h1>Title</h1><div class=entry>{paragraphs}</div></body>").split("\n") == ["Title", *entry]
+    assert html_text.main_text(f"<body><div>{short} {long}<ul><li>{long}</ul>tail</div></body>").endswith("\ntail")
+
+
 def test_html_pages(spark):
     rows = queries.op6_html(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
