@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: dict[str, SparkSession] = {}
+_open: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,24 +40,51 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{top}/{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def _remove(top: str) -> None:
     spark = _made.pop(top, None)
     try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(top)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, top)
     except Exception:  # the session has ended; the folder's owner clears it
         pass
 
 
-def cut(df: DataFrame, **options: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation."""
+def cut(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
+
+    Inside scratch() the table goes when the block ends, unless `keep` hands it to the block around.
+    """
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.options(**options).parquet(path)
+    blocks = _open[:-1] if keep else _open
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes in this block is deleted at its end; only what it keeps may be used after it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _delete(spark, path)
+        sweep(spark)
+
+
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

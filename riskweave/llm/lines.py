@@ -3,16 +3,16 @@
 A line's tokens are its lower-cased words; lines are equal or near by the Jaccard similarity of their token sets.  A
 line goes if an earlier line (by doc_id, then line number) has a similarity of at least LEAST with it.
 
-  1. Token sets are written once, as 31-bit hashes.  Tokens are counted over all lines in 2^18 hash buckets; rarity,
-     then the token's hash, is the global order.
-  2. Lines with equal token sets (by a 128-bit hash) are one class; all but its first line go.  Classes alone are
-     joined, so copies of a line, however many, are never paired.
+  1. Token sets are written once, as 32-bit hashes.  Lines with the same lower-cased text (by a 128-bit hash) are one
+     class; all but its first line go.  Classes alone are joined, so copies of a line, however many, are never paired.
+  2. Tokens are counted over all lines in 2^18 hash buckets; rarity, then the token's hash, is the global order.
   3. Star: classes that share the least or the largest hash among their rarer tokens are compared with the first class
      that has it.  This settles most of a large group of near copies with one comparison each.
-  4. Prefix filter: two sets of n and m tokens with the similarity t share one of their n - ceil(t n) + 1 rarest
-     tokens.  Classes that are not settled meet all earlier ones on these.  Length filter: m >= t n.  Positional
-     filter: what is left behind the shared token must suffice for the overlap t/(1+t) (n+m).  A 64-bit parity map
-     of each set bounds the tokens that differ.
+  4. Prefix filter: of two sets with the similarity t, n <= m tokens, one of the n - ceil(2t/(1+t) n) + 1 rarest tokens
+     of the smaller is one of the m - ceil(t m) + 1 rarest of the larger.  Classes meet on these.  Length filter:
+     m <= n/t.  Positional filter: what is left behind the shared token must suffice for the overlap t/(1+t) (n+m).
+     Parity maps of the sets, 64 bits or, from WIDE tokens on, 128, bound the tokens that differ.  Pairs whose later
+     class is settled already are left out.
   5. Candidates are verified on their whole token sets.
 
 All of it is DataFrame operations.  Lines without a word, and null texts, are never removed.  Rows that share doc_id are
@@ -26,139 +26,172 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._support import cut
+from ._support import cut, scratch, sweep
 
 LEAST = 0.8
 BUCKETS = 1 << 18
-#: Keys of lines are broadcast up to this many bytes (24 a line); beyond, they are joined by shuffle.
-MOST_BROADCAST = 24 << 20
+WIDE = 48
+#: Keys of lines are broadcast up to this many; beyond, they are joined by shuffle.
+MOST_BROADCAST = 1 << 20
+#: A line's number is its document's number times a power of two, plus its place; both have so many bits in all.
+BITS = 62
 
 #: Hashes of words are too many for a dictionary page: none is tried.
-PLAIN = {"parquet.enable.dictionary#t.list.element": "false"}
+PLAIN = {"parquet.enable.dictionary#t.list.element": "false", "parquet.enable.dictionary#prefix.list.element": "false"}
 
 _OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
-    """31-bit hashes of the distinct words; the empty words beside blanks go."""
+    """32-bit hashes of the distinct words; the empty words beside blanks go."""
     low = F.lower(line)
-    odd = F.lit(False)
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     for c in _OTHER_SPACE:
         odd = odd | F.contains(line, F.lit(c))
-    words = F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")
-    blank = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
-    words = F.when(odd | blank, words).otherwise(F.split(low, " "))
-    return F.array_distinct(F.transform(words, lambda w: F.hash(w).bitwiseAND(0x7FFFFFFF)))
+    words = F.when(odd, F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")).otherwise(F.split(low, " "))
+    return F.array_distinct(F.transform(words, lambda w: F.hash(w)))
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with the column _n, which orders and tells apart documents: the key itself where that does so."""
+def numbered(docs: DataFrame, key: str, text: str, most: int = 1 << 40) -> DataFrame:
+    """docs with the column _n, which orders and tells apart documents: the key itself where that does so and is below `most`."""
     ids = docs.select(F.col(key).cast("long").alias("id"))
-    if not ids.groupBy("id").count().where("id is null or count > 1").limit(1).count():
+    span = ids.agg(F.min("id"), F.max("id"), F.count("*") - F.count("id")).first()
+    if not span[2] and -most < (span[0] or 0) and (span[1] or 0) < most and not ids.groupBy("id").count().where("count > 1").limit(1).count():
         return docs.withColumn("_n", F.col(key).cast("long"))
     marked = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(text))
-    numbers = cut(marked.select("_id", "_mark").distinct().orderBy(F.col("_id").asc_nulls_first(), "_mark").select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), F.monotonically_increasing_id().alias("_n")))
+    places = cut(marked.select("_id", "_mark").distinct().orderBy(F.col("_id").asc_nulls_first(), "_mark").select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), F.monotonically_increasing_id().alias("_k")), keep=True)
+    part = F.shiftright("_k", 33)
+    before, at = [], 0
+    for r in places.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
+        before += [0] * (r["part"] - len(before)) + [at]
+        at += r["count"]
+    start = F.split(F.lit(",".join(map(str, before)) or "0"), ",").cast("array<bigint>")
+    numbers = places.select("_i", "_m", (F.get(start, part.cast("int")) + F.col("_k").bitwiseAND((1 << 33) - 1)).alias("_n"))
     return marked.join(numbers, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))).drop("_id", "_mark", "_i", "_m")
 
 
-def token_sets(docs: DataFrame, text: str) -> DataFrame:
-    """A row for each line with a word: id, pos, t (its tokens' hashes), k1 and k2 (hashes of the set)."""
-    every = docs.where(F.col(text).isNotNull()).select(F.col("_n").alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    sets = every.where(F.col("line") != "").select("id", "pos", F.sort_array(_tokens(F.col("line"))).alias("t")).where(F.size("t") > 0)
-    return cut(sets.select("id", "pos", "t", F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(1), "t").alias("k2")), **PLAIN)
+def token_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row for each line, or for a null text: id, the key, n_lines, pos, t (its tokens' hashes), k1 and k2 (hashes of its text)."""
+    split = docs.select(F.col("_n").alias("id"), F.col(key).alias("key"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
+    every = split.select("id", "key", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.posexplode_outer("lines").alias("pos", "line"))
+    low = F.lower("line")
+    return cut(every.select("id", "key", "n_lines", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64(low).alias("k1"), F.xxhash64(F.lit(1), low).alias("k2"),
+                        F.when(F.coalesce(F.col("line"), F.lit("")) != "", _tokens(F.col("line"))).otherwise(F.array().cast("array<int>")).alias("t")), **PLAIN)
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
+def rarity(sets: DataFrame) -> Column:
     """For each hash bucket a number from 0 to 127, larger if its tokens are more frequent; over all lines."""
     counts = sets.select(F.explode("t").alias("h")).select(F.col("h").bitwiseAND(BUCKETS - 1).alias("b")).groupBy("b").count().toArrow()  # BUCKETS rows at most
     table = np.zeros(BUCKETS)
     table[counts["b"].to_numpy()] = counts["count"].to_numpy()
-    return np.minimum(127, np.floor(3 * np.log2(1 + table))).astype(np.int8)
+    ranks = np.minimum(127, np.floor(3 * np.log2(1 + table))).astype(int).tolist()
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")  # one literal, made into an array by the JVM
 
 
 def _when_small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its size, counted here, is within the bound."""
-    return F.broadcast(df) if df.count() * 24 <= MOST_BROADCAST else df
+    """df, to be broadcast if its rows, counted here, are within the bound."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def _may_match(least: float, x: str, y: str) -> Column:
-    """Length, positional and parity filters on two classes."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.bit_count(F.col(f"{x}.b").bitwiseXOR(F.col(f"{y}.b")))
-    return (n >= least * m - 1e-9) & (m >= least * n - 1e-9) & (differ <= (1 - least) / (1 + least) * (n + m) + 1e-9)
+def _differ(x: str, y: str) -> Column:
+    """At least so many tokens are in one of the sets alone."""
+    one, two = (lambda a: F.bit_count(F.col(f"{x}.{a}").bitwiseXOR(F.col(f"{y}.{a}")))), (lambda s: F.col(f"{s}.b1").bitwiseXOR(F.col(f"{s}.b2")))
+    return F.when((F.col(f"{x}.n") >= WIDE) & (F.col(f"{y}.n") >= WIDE), one("b1") + one("b2")).otherwise(F.bit_count(two(x).bitwiseXOR(two(y))))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(xi, xp, yi, yp) pairs -> id, pos of the later line of those whose token sets have the similarity."""
+    """(x, y) pairs -> o, the later line of those whose token sets have the similarity."""
     pairs = cut(pairs)
-    needed = cut(pairs.select(F.col("xi").alias("i"), F.col("xp").alias("p")).union(pairs.select("yi", "yp")).distinct())
-    found = cut(sets.join(_when_small(needed), (F.col("id") == F.col("i")) & (F.col("pos") == F.col("p")), "left_semi").select("id", "pos", "t").dropDuplicates(["id", "pos"]))
-    x, y = found.select(F.col("id").alias("xi"), F.col("pos").alias("xp"), F.col("t").alias("tx")), found.select(F.col("id").alias("yi"), F.col("pos").alias("yp"), F.col("t").alias("ty"))
-    both = pairs.join(x, ["xi", "xp"]).join(y, ["yi", "yp"])
+    needed = cut(pairs.select(F.explode(F.array("x", "y")).alias("line")).distinct())
+    found = cut(sets.join(_when_small(needed), F.col("o") == F.col("line"), "left_semi").select("o", "t").dropDuplicates(["o"]), **PLAIN)
+    both = pairs.join(found.select(F.col("o").alias("x"), F.col("t").alias("tx")), "x").join(found.select(F.col("o").alias("y"), F.col("t").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    return cut(both.where(common >= least * (F.size("tx") + F.size("ty") - common) - 1e-9).select(F.col("yi").alias("id"), F.col("yp").alias("pos")).distinct())
-
-
-def removals(docs: DataFrame, text: str = "text", least: float = LEAST) -> DataFrame:
-    """Numbered docs -> id (the document's number), pos of every line that goes."""
-    sets = token_sets(docs, text)
-    table = F.lit(rarity(sets))
-
-    big = "decimal(38,0)"
-    order = (F.col("id").cast(big) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast(big)).cast(big)
-    slim = sets.select("id", "pos", "k1", "k2", order.alias("o"))
-    classes = slim.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first <> last").select("k1", "k2", "first")
-    copies = cut(slim.join(classes, ["k1", "k2"]).where("o <> first").select("id", "pos").distinct())
-
-    place = lambda h: F.shiftleft(F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("byte")).cast("long"), 32).bitwiseOR(h.cast("long"))
-    # a token flips one bit of 64, which the last six bits of its hash name
-    parity = F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
-    n = F.size("t")
-    firsts = sets.join(_when_small(copies), ["id", "pos"], "left_anti").select(
-        "id", "pos", n.alias("n"), F.sort_array(F.transform("t", place)).alias("s"), parity.alias("b"))
-    rarer = F.transform(F.slice("s", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF))
+    return cut(both.where(common >= least * (F.size("tx") + F.size("ty") - common) - 1e-9).select(F.col("y").alias("o")).distinct())
+
+
+def _removed(sets: DataFrame, least: float) -> DataFrame:
+    """Token sets with the line number o -> o of every line that goes."""
+    spark = sets.sparkSession
+    lines = sets.where(F.size("t") > 0)
+    slim = lines.select("o", "k1", "k2")
+    classes = cut(slim.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first <> last").select("k1", "k2", "first"))
+    copies = cut(slim.join(_when_small(classes), ["k1", "k2"]).where("o <> first").select("o"))
+    sweep(spark)
+
+    table = rarity(lines)
+    place = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1)).cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(0xFFFFFFFF))
+    # a token flips one bit, which the last bits of its hash name
+    parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
+    wide = F.col("n") >= WIDE
+    half = lambda bit: parity(F.filter("t", lambda h: h.bitwiseAND(64) == bit))
+    firsts = lines.join(_when_small(copies), "o", "left_anti").select("o", F.size("t").alias("n"), "t", F.sort_array(F.transform("t", place)).alias("s"))
+    low = lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+    rarer = F.transform(F.slice("s", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda x: x.bitwiseAND(0xFFFFFFFF))
     firsts = cut(firsts.select(
-        "id", "pos", "n", "b", F.transform(F.slice("s", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix"), rarer.alias("r"),
-    ).select("id", "pos", "n", "b", "prefix", F.xxhash64(F.lit(0), F.array_min("r"), F.lit(0)).alias("r1"), F.xxhash64(F.lit(1), F.array_max("r"), F.lit(0)).alias("r2")))
+        "o", "n", F.when(wide, half(0)).otherwise(parity(F.col("t"))).alias("b1"), F.when(wide, half(64)).otherwise(F.lit(0).cast("long")).alias("b2"),
+        F.transform(F.slice("s", F.lit(1), (F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1).cast("int")), low).alias("prefix"), rarer.alias("r"),
+    ).select("o", "n", "b1", "b2", "prefix", F.xxhash64(F.lit(0), F.array_min("r"), F.lit(0)).alias("r1"), F.xxhash64(F.lit(1), F.array_max("r"), F.lit(0)).alias("r2")), **PLAIN)
 
     # the first class of each star key against the others
-    arms = firsts.select("id", "pos", "n", "b", F.explode(F.array("r1", "r2")).alias("r"))
-    heads = arms.groupBy("r").agg(F.min(order).alias("first"), F.count("*").alias("f")).where("f > 1")
-    heads = arms.join(heads, "r").where(order == F.col("first")).select("r", "id", "pos", "n", "b")
-    star = heads.alias("x").join(arms.alias("y"), (F.col("x.r") == F.col("y.r")) & _earlier() & _may_match(least, "x", "y")).select(*_pair()).distinct()
-    settled = _verified(star, sets, least)
-
-    # prefixes; `up` is the size that a partner may have, `limit` the same for classes that still look for one, else 0
+    few = (1 - least) / (1 + least) * (F.col("x.n") + F.col("y.n")) + 1e-9
+    near = (F.col("x.n") >= least * F.col("y.n") - 1e-9) & (F.col("y.n") >= least * F.col("x.n") - 1e-9) & (_differ("x", "y") <= few)
+    arms = firsts.select("o", "n", "b1", "b2", F.explode(F.array("r1", "r2")).alias("r"))
+    heads = arms.groupBy("r").agg(F.min("o").alias("first"), F.count("*").alias("f")).where("f > 1")
+    heads = arms.join(heads, "r").where("o = first").select("r", "o", "n", "b1", "b2")
+    star = heads.alias("x").join(arms.alias("y"), (F.col("x.r") == F.col("y.r")) & (F.col("x.o") < F.col("y.o")) & near).select(F.col("x.o").alias("x"), F.col("y.o").alias("y")).distinct()
+    settled = _verified(star, lines, least)
+    sweep(spark)
+
+    # prefixes; `most` is the size that a larger partner may have, 0 beyond the smaller set's prefix
     closed = settled.withColumn("closed", F.lit(True))
-    up = F.floor(F.col("n") / least + 1e-9).cast("int")
-    rows = firsts.join(closed, ["id", "pos"], "left").select("id", "pos", "n", "b", up.alias("up"), F.when(F.col("closed"), 0).otherwise(up).alias("limit"), F.posexplode("prefix").alias("at", "token"))
+    smaller = F.col("n") - F.ceil(2 * least / (1 + least) * F.col("n") - 1e-9) + 1
+    rows = firsts.join(_when_small(closed), "o", "left").select("o", "n", "b1", "b2", F.col("closed").isNull().alias("open"), F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("o", "n", "b1", "b2", "open", "at", "token", F.when(F.col("at") < smaller, F.floor(F.col("n") / least + 1e-9)).otherwise(0).cast("int").alias("most"))
+    # the last term always holds; with it both sides have the same columns, so that Spark shuffles the rows once
+    length = (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.n")) & (F.col("x.most") + F.col("y.most") > 0)
+    unlike = (F.col("x.n") < F.col("y.n")) | (F.col("x.o") < F.col("y.o"))
     need = F.ceil(least / (1 + least) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     position = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= need
-    length = (F.col("x.n") <= F.col("y.limit")) & (F.col("y.n") <= F.col("x.up")) & (F.col("x.n") <= F.col("y.up")) & (F.col("x.limit") + F.col("y.limit") >= 1)
-    rest = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier() & length & position & _may_match(least, "x", "y")).select(*_pair()).distinct()
-    return copies.unionByName(settled).unionByName(_verified(rest, sets, least)).distinct()
-
-
-def _earlier() -> Column:
-    return (F.col("x.id") < F.col("y.id")) | (F.col("x.id") == F.col("y.id")) & (F.col("x.pos") < F.col("y.pos"))
-
-
-def _pair() -> list[Column]:
-    return [F.col("x.id").alias("xi"), F.col("x.pos").alias("xp"), F.col("y.id").alias("yi"), F.col("y.pos").alias("yp")]
+    looking = F.when(F.col("x.o") < F.col("y.o"), F.col("y.open")).otherwise(F.col("x.open"))
+    met = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & length & unlike & position & (_differ("x", "y") <= few) & looking)
+    rest = met.select(F.least("x.o", "y.o").alias("x"), F.greatest("x.o", "y.o").alias("y")).distinct()
+    return copies.unionByName(settled).unionByName(_verified(rest, lines, least)).distinct()
+
+
+def removals(docs: DataFrame, key: str, text: str = "text", least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """docs -> (id, key, n_lines) of every document, and (id, removed: sorted places of the lines that go) of those that lose any."""
+    with scratch(docs.sparkSession):
+        most = 1 << 40
+        while True:
+            sets = token_sets(numbered(docs, key, text, most), key, text)
+            span = sets.agg(F.max(F.abs("id")), F.max("pos")).first()
+            bits = int(span[1] or 0).bit_length()
+            if most == 0 or int(span[0] or 0).bit_length() + bits <= BITS:
+                break
+            most = 0  # numbers without gaps take fewer bits
+        sets = sets.withColumn("o", F.col("id") * (1 << bits) + F.col("pos"))
+        gone = _removed(sets, least).select(F.shiftright("o", bits).alias("id"), F.col("o").bitwiseAND((1 << bits) - 1).cast("int").alias("pos"))
+        removed = cut(gone.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("removed")), keep=True)
+        every = cut(sets.where("pos = 0").select("id", "key", "n_lines"), keep=True)
+    return every, removed
 
 
 def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs -> key, n_lines, removed (sorted line numbers from 0)."""
-    docs = numbered(docs, key, text)
-    gone = removals(docs, text, least).groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    every = docs.select(key, F.col("_n").alias("id"), F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"))) + 1).cast("long").alias("n_lines"))
-    return every.join(gone, "id", "left").select(key, "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    every, removed = removals(docs, key, text, least)
+    return every.join(removed, "id", "left").select(F.col("key").alias(key), "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with the lines that go taken out of the text; documents that lose every line with a word go."""
-    marked = numbered(docs, key, text)
-    gone = removals(marked, text, least).groupBy(F.col("id").alias("_id")).agg(F.collect_list("pos").alias("_gone"))
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains("_gone", k)), "\n")
-    joined = marked.join(gone, F.col("_n") == F.col("_id"), "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    return joined.where(F.col("_gone").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    every, removed = removals(docs, key, text, least)
+    return _without(numbered(docs, key, text), every, removed, text).select(*docs.columns)
+
+
+def _without(marked: DataFrame, every: DataFrame, removed: DataFrame, text: str) -> DataFrame:
+    lost = removed.join(every.select("id", "n_lines").distinct(), "id")
+    stay = lost.select(F.col("id").alias("_id"), F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), "removed").alias("_stay"))
+    joined = marked.join(stay, F.col("_n") == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_id").isNotNull(), F.split(text, "\n")))
+    kept = F.when(F.size("_lines") > 0, F.array_join(F.transform("_stay", lambda p: F.get("_lines", p)), "\n"))
+    joined = joined.withColumn(text, F.when(F.col("_id").isNull(), F.col(text)).otherwise(kept))
+    return joined.where(F.col("_id").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
