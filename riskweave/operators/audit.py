@@ -37,3 +37,20 @@ def broken(entries: DataFrame, chain: str = "chain", order: str = "seq") -> Data
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in ("id", "timestamp", "user_id", "action", "details", "prev_hash")])
     marked = entries.withColumn("_before", before).withColumn("reason", F.when(F.col("prev_hash") != F.col("_before"), "broken_link").when(F.sha2(text.cast("binary"), 256) != F.col("entry_hash"), "altered"))
     return marked.where("reason is not null").drop("_before")
+
+
+def read(entries: DataFrame, action: str | None = None, user: str | None = None, limit: int | None = None) -> DataFrame:
+    """Entries of an action, of a user, newest first."""
+    out = entries if action is None else entries.where(F.col("action") == action)
+    out = out if user is None else out.where(F.col("user_id") == user)
+    out = out.orderBy(F.desc("timestamp"), F.desc("id"))
+    return out if limit is None else out.limit(limit)
+
+
+def stats(entries: DataFrame) -> DataFrame:
+    """One row: total_entries, by_action and by_user (arrays of struct(name, n), sorted), oldest, newest."""
+    def counted(column: str) -> DataFrame:
+        return entries.groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n")).agg(F.sort_array(F.collect_list(F.struct("name", "n"))).alias("counts"))
+
+    whole = entries.agg(F.count("*").alias("total_entries"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+    return whole.withColumn("by_action", counted("action").scalar()).withColumn("by_user", counted("user_id").scalar())

@@ -174,6 +174,15 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
     return arrays.select(key, F.explode("s").alias("s")).select(key, "s.*").where(F.col("confidence") >= min_confidence)
 
 
+def catalog_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
+    """key, entity_type, count, confidence (mean) over the whole catalog, spans of one document that conflict resolved."""
+    from . import cleanup
+    from . import spans as conflicts
+
+    found = conflicts.resolve(cleanup.clean(spans(docs, key, text, rules)), key)
+    return found.groupBy(key, "entity_type").agg(F.count("*").alias("count"), F.avg("confidence").alias("confidence"))
+
+
 def boosted(confidence: Column, context: Column, keywords: str) -> Column:
     """A quarter more for low confidences with a keyword near."""
     return F.when((confidence < 0.7) & context.rlike(f"(?i){keywords}"), F.least(F.lit(1.0), confidence + 0.25)).otherwise(confidence)

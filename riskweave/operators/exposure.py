@@ -151,3 +151,42 @@ def m365(links: Column, direct: Column, site_capability: Column) -> Column:
 def posix(mode: Column) -> Column:
     """From the permission bits: others may write or read, the group may read."""
     return F.when(mode.bitwiseAND(2) != 0, PUBLIC).when(mode.bitwiseAND(4) != 0, ORG_WIDE).when(mode.bitwiseAND(0o040) != 0, INTERNAL).otherwise(PRIVATE)
+
+
+def direct_permission(granted: Column) -> Column:
+    """granted: struct(site, group, user_email, user_type, application) of a permission, null where it has none."""
+    group, email = F.lower(granted["group"]), F.lower(F.coalesce(granted["user_email"], F.lit("")))
+    guest = F.contains(email, F.lit("#ext#")) | (F.coalesce(granted["user_type"], F.lit("")) == "Guest")
+    user = granted["user_email"].isNotNull() | granted["user_type"].isNotNull()
+    return (
+        F.when(granted["site"].isNotNull(), INTERNAL).when(group.isNotNull(), F.when(F.contains(group, F.lit("everyone")), ORG_WIDE).otherwise(INTERNAL))
+        .when(user, F.when(guest, ORG_WIDE).otherwise(PRIVATE)).when(granted["application"].isNotNull(), INTERNAL).otherwise(PRIVATE)
+    )
+
+
+def crosses_projects(members: Column, project: Column) -> Column:
+    """Whether a service account among the members is of another project; false where the project is not known."""
+    foreign = F.exists(members, lambda m: F.contains(m, F.lit("serviceAccount:")) & ~F.contains(m, F.concat(F.lit("@"), project)))
+    return F.coalesce((F.length(project) > 0) & foreign, F.lit(False))
+
+
+def recommended_mode(rank: Column, is_directory: Column, is_executable: Column) -> Column:
+    """The permission bits that an exposure calls for."""
+    folder = F.when(rank == PRIVATE, 0o700).when(rank == INTERNAL, 0o750).when(rank == ORG_WIDE, 0o755).otherwise(0o777)
+    file = F.when(rank == PRIVATE, 0o600).when(rank == INTERNAL, 0o640).when(rank == ORG_WIDE, 0o644).otherwise(0o666)
+    return F.when(is_directory, folder).otherwise(file + F.when(is_executable & (rank < PUBLIC), 0o100).otherwise(0))
+
+
+# Bits of a Windows access mask.
+RIGHTS = {
+    0x1: "READ_DATA", 0x2: "WRITE_DATA", 0x4: "APPEND_DATA", 0x8: "READ_EA", 0x10: "WRITE_EA", 0x20: "EXECUTE", 0x40: "DELETE_CHILD", 0x80: "READ_ATTRIBUTES", 0x100: "WRITE_ATTRIBUTES",
+    0x10000: "DELETE", 0x20000: "READ_CONTROL", 0x40000: "WRITE_DAC", 0x80000: "WRITE_OWNER", 0x100000: "SYNCHRONIZE",
+    0x10000000: "GENERIC_ALL", 0x80000000: "GENERIC_READ", 0x40000000: "GENERIC_WRITE", 0x20000000: "GENERIC_EXECUTE",
+}
+
+
+def rights(mask: Column) -> Column:
+    """The names of the bits of an access mask; its hexadecimal form if it has none of them."""
+    wide = mask.cast("long")
+    found = F.filter(F.array(*[F.when(wide.bitwiseAND(bit) != 0, name) for bit, name in RIGHTS.items()]), lambda x: x.isNotNull())
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(wide)), 8, "0"))))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .score import exposure_rank
@@ -96,6 +96,44 @@ def parse(expression: str, fields: Fields) -> Column:
         joined, at = j[1].upper(), j.end()
 
 
+def of(results: DataFrame) -> Fields:
+    """The fields that a table of results has."""
+    columns = {("size" if c == "size_bytes" else c): F.col(c) for c in results.columns if c != "entities"}
+    kind = dict(results.dtypes).get("entities", "")
+    return Fields(columns, F.col("entities") if kind else None, not kind.startswith("array"))
+
+
+class Where:
+    """An expression built step by step: Where("score >= 50").and_("tier = HIGH").or_has("SSN")."""
+
+    def __init__(self, condition: str):
+        self.text = self._one(condition)
+
+    @staticmethod
+    def _one(condition: str) -> str:
+        m = _CONDITION.match(condition)
+        if not m or condition[m.end():].strip():
+            raise ValueError(f"one condition is expected, not {condition!r}")
+        return condition.strip()
+
+    def and_(self, condition: str) -> Where:
+        self.text += f" AND {self._one(condition)}"
+        return self
+
+    def or_(self, condition: str) -> Where:
+        self.text += f" OR {self._one(condition)}"
+        return self
+
+    def and_has(self, entity_type: str) -> Where:
+        return self.and_(f"has({entity_type})")
+
+    def or_has(self, entity_type: str) -> Where:
+        return self.or_(f"has({entity_type})")
+
+    def column(self, results: DataFrame) -> Column:
+        return parse(self.text, of(results))
+
+
 def criteria(min_score=None, max_score=None, tier=None, path_glob=None, file_type=None, min_size=None, max_size=None) -> Column:
     """Structured criteria on columns path, score, tier, file_type, size_bytes, error; rows with an error are out."""
     import fnmatch

@@ -51,6 +51,48 @@ def query(objects: DataFrame, versions: DataFrame, tenant: str | None = None, li
     return objects.join(versions.where(matching(**what)), "label_id").orderBy(F.desc("scanned_at"), "label_id", "content_hash").offset(max(0, offset)).limit(max(1, min(limit, MOST_ROWS)))
 
 
+def count(objects: DataFrame, versions: DataFrame, tenant: str | None = None, **what) -> DataFrame:
+    """How many rows query() would have without a limit."""
+    objects = objects.where(F.col("tenant_id") == tenant) if tenant is not None else objects
+    return objects.join(versions.where(matching(**what)), "label_id").agg(F.count("*").alias("n"))
+
+
+def tenant_counts(objects: DataFrame, versions: DataFrame) -> DataFrame:
+    """tenant_id, labels, versions; versions are counted by label before they meet their tenant."""
+    per = versions.groupBy("label_id").agg(F.count("*").alias("n"))
+    return objects.join(per, "label_id", "left").groupBy("tenant_id").agg(F.countDistinct("label_id").alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("versions"))
+
+
+def exported(objects: DataFrame, versions: DataFrame, tenant: str | None = None, **what) -> DataFrame:
+    """The matching versions as JSON lines, newest first; write them as text, or read them piece by piece with toLocalIterator()."""
+    objects = objects.where(F.col("tenant_id") == tenant) if tenant is not None else objects
+    rows = objects.join(versions.where(matching(**what)), "label_id")
+    return rows.orderBy(F.desc("scanned_at"), "label_id", "content_hash").select(F.to_json(F.struct(*sorted(rows.columns))).alias("value"))
+
+
+def aggregated(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, entity_type, value_hash (of the first span), confidence (mean), count: what a label says of each type."""
+    from ..functions.text import value_hash
+
+    return spans.groupBy(key, "entity_type").agg(F.min_by("text", F.struct("start", "end")).alias("value"), F.avg("confidence").alias("confidence"), F.count("*").alias("count")).withColumn("value_hash", value_hash(F.col("value"), F.col("entity_type"))).drop("value")
+
+
+def inventory(items: DataFrame, tier: str | None = None, entity: str | None = None, min_score=None, max_score=None, path_contains: str | None = None) -> DataFrame:
+    """Inventory rows (path, score, tier, entities map) that match; names and paths whatever their case."""
+    out = F.lit(True)
+    if tier:
+        out = out & (F.upper(F.coalesce(F.col("tier"), F.lit(""))) == tier.upper())
+    if entity:
+        out = out & F.exists(F.map_keys("entities"), lambda k: F.upper(k) == entity.upper())
+    if min_score is not None:
+        out = out & (F.coalesce(F.col("score"), F.lit(0)) >= min_score)
+    if max_score is not None:
+        out = out & (F.coalesce(F.col("score"), F.lit(0)) <= max_score)
+    if path_contains:
+        out = out & F.contains(F.lower("path"), F.lit(path_contains.lower()))
+    return items.where(out)
+
+
 def by_path(mappings: DataFrame, versions: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """The version that each path (all, or those of `paths`) has now."""
     mappings = paths.join(mappings, "file_path", "left") if paths is not None else mappings

@@ -15,14 +15,16 @@ ENCRYPTION = ("none", "platform", "customer_managed")
 def findings(rows: DataFrame, strategy: str = "max", key: str = "object_id") -> DataFrame:
     """(key, input_ord, entity_type, count, confidence, source) -> one row for each object and type.
 
-    max: largest count and confidence; sum: counts added; first: count and confidence of the first input.
+    max: largest count and confidence; sum: counts added; first: count and confidence of the first input.  Where the
+    rows have positions, array<struct<start,end>>, those of all sources are joined, each place once.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
     count = {"max": F.max("count"), "sum": F.sum("count"), "first": F.min_by("count", "input_ord")}[strategy]
     confidence = F.min_by("confidence", "input_ord") if strategy == "first" else F.max("confidence")
+    positions = [F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions")] if "positions" in rows.columns else []
     return rows.withColumn("entity_type", F.upper(F.trim("entity_type"))).groupBy(key, "entity_type").agg(
-        count.alias("count"), confidence.alias("confidence"), F.sort_array(F.collect_set("source")).alias("sources"))
+        count.alias("count"), confidence.alias("confidence"), F.sort_array(F.collect_set("source")).alias("sources"), *positions)
 
 
 def contexts(rows: DataFrame, key: str = "object_id") -> DataFrame:

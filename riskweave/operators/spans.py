@@ -6,9 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Groups of types that are compatible with each other.
-GROUPS = (("NAME", "NAME_PATIENT", "NAME_PROVIDER", "NAME_RELATIVE"), ("DATE", "DATE_DOB", "DATETIME"), ("ADDRESS", "ZIP", "CITY", "STATE"), ("PHONE", "FAX"))
-
+from . import refine
 
 def dedupe(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """One span for each (start, end): the highest tier, then confidence, then the first rule."""
@@ -17,16 +15,27 @@ def dedupe(spans: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_contained(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Without spans that lie in a longer span of a compatible type that is no weaker.
+    """Without spans that lie in a longer one, or an equal and better one, of a compatible type, whatever their tiers.
 
-    A sweep over each document's spans, no self-join: the running maximum of the ends seen so far by type group tells.
+    Only runs of touching spans are looked at, each by itself; spans that touch no other never leave the JVM.
     """
-    group = F.col("entity_type")
-    for names in GROUPS:
-        group = F.when(F.col("entity_type").isin(*names), names[0]).otherwise(group)
-    before = Window.partitionBy(key, "_group").orderBy("start", F.desc("end"), F.desc("tier"), "rule_ord").rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.withColumn("_group", group).withColumn("_reach", F.max("end").over(before)).withColumn("_tier", F.max("tier").over(before))
-    return marked.where("_reach is null or `end` > _reach or tier > _tier").drop("_group", "_reach", "_tier")
+    runs, added = _runs(spans, key)
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = refine.without_contained("", pdf.assign(_at=pdf.index).to_dict("records"))
+        return pdf.loc[sorted(s["_at"] for s in kept)]
+
+    chosen = runs.where("_many").groupBy(key, "_run").applyInPandas(sweep, runs.schema)
+    return runs.where("not _many").unionByName(chosen).drop(*added)
+
+
+def _runs(spans: DataFrame, key: str) -> tuple[DataFrame, list[str]]:
+    """spans with the number of their run of touching spans and whether it has many; and the names of these columns."""
+    order = Window.partitionBy(key).orderBy("start", "end", "rule_ord")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    starts = spans.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")).cast("int"))
+    runs = starts.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.withColumn("_many", F.count("*").over(Window.partitionBy(key, "_run")) > 1), ["_new", "_run", "_many"]
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,13 +58,9 @@ def non_overlapping(spans: DataFrame, key: str = "doc_id", piece: int = 1 << 16)
     Choices are made within runs of touching spans, which are found by a window; a run is a small group however long
     the document is.
     """
-    before = Window.partitionBy(key).orderBy("start", "end", "rule_ord").rowsBetween(Window.unboundedPreceding, -1)
-    starts = spans.withColumn("_new", (F.coalesce(F.max("end").over(before), F.lit(-1)) <= F.col("start")).cast("int"))
-    runs = starts.withColumn("_run", F.sum("_new").over(Window.partitionBy(key).orderBy("start", "end", "rule_ord").rowsBetween(Window.unboundedPreceding, 0)))
-    alone = Window.partitionBy(key, "_run")
-    runs = runs.withColumn("_many", F.count("*").over(alone) > 1)
+    runs, added = _runs(spans, key)
     chosen = runs.where("_many").groupBy(key, "_run").applyInPandas(_greedy, runs.schema)
-    return runs.where("not _many").unionByName(chosen).drop("_new", "_run", "_many")
+    return runs.where("not _many").unionByName(chosen).drop(*added)
 
 
 def islands(positions: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -55,6 +55,42 @@ def _decoded(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+def _tag(element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _sheets(z: zipfile.ZipFile) -> str:
+    """Every sheet under its heading: the rows' cells that are not blank, numbers and formula results too."""
+    import re
+    from xml.etree import ElementTree
+
+    names = z.namelist()
+    words = lambda x: "".join(t.text or "" for t in x.iter() if _tag(t) == "t")
+    shared = [words(x) for x in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _tag(x) == "si"] if "xl/sharedStrings.xml" in names else []
+    titles = [x.get("name") for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _tag(x) == "sheet"] if "xl/workbook.xml" in names else []
+    parts = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+    out = []
+    for k, (number, part) in enumerate(parts):
+        rows = []
+        for row in ElementTree.fromstring(z.read(part)).iter():
+            if _tag(row) != "row":
+                continue
+            cells = []
+            for cell in row:
+                value = next((x.text or "" for x in cell if _tag(x) == "v"), None)
+                if cell.get("t") == "s" and value is not None and value.isdigit() and int(value) < len(shared):
+                    value = shared[int(value)]
+                elif value is None:
+                    value = words(cell)
+                if value.strip():
+                    cells.append(value)
+            if cells:
+                rows.append(" | ".join(cells))
+        if rows:
+            out.append("\n".join([f"[Sheet: {titles[k] if k < len(titles) else number}]", *rows]))
+    return "\n".join(out)
+
+
 def text_of(name: str, data: bytes) -> str:
     """Text of plain, tabular, RTF and Office Open XML content; empty for other kinds."""
     low = name.lower()
@@ -62,18 +98,18 @@ def text_of(name: str, data: bytes) -> str:
         rows = csv.reader(io.StringIO(_decoded(data)), delimiter="\t" if low.endswith(".tsv") else ",")
         return "\n".join(" | ".join(c for c in row if c.strip()) for row, _ in zip(rows, range(MOST_ROWS)))
     if low.endswith((".docx", ".xlsx")):
-        import re
         from xml.etree import ElementTree
 
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             if sum(x.file_size for x in z.infolist()) > MOST_RATIO * max(1, len(data)):
                 return ""
-            parts = [n for n in z.namelist() if re.match(r"word/document\.xml|xl/sharedStrings\.xml|xl/worksheets/sheet\d+\.xml", n)]
+            if low.endswith(".xlsx"):
+                return _sheets(z)
             out = []
-            for part in sorted(parts):
+            for part in sorted(n for n in z.namelist() if n == "word/document.xml"):
                 for p in ElementTree.fromstring(z.read(part)).iter():
-                    if p.tag.rpartition("}")[2] in ("p", "si", "is"):
-                        out.append("".join(t.text or "" for t in p.iter() if t.tag.rpartition("}")[2] == "t"))
+                    if _tag(p) == "p":
+                        out.append("".join(t.text or "" for t in p.iter() if _tag(t) == "t"))
             return "\n".join(x for x in out if x)
     if low.endswith(".rtf"):
         import re

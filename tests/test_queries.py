@@ -3,7 +3,7 @@ import decimal
 import duckdb
 import pytest
 
-from riskweave.plans import catalog
+from riskweave.plans import catalog, catalog_more  # noqa: F401  the latter adds to the catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
