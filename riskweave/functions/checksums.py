@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import BooleanType
 
 
 def digits(c: Column) -> Column:
@@ -174,3 +177,33 @@ def usps_tracking(c: Column) -> Column:
     rest = 11 - _weighted(F.slice(_numbers(F.substring(x, 3, 8)), 1, 8), [8, 6, 4, 2, 3, 5, 9, 7]) % 11
     abroad = F.when(rest == 10, 0).when(rest == 11, 5).otherwise(rest) == F.substring(x, 11, 1).cast("int")
     return _sure(F.when(x.rlike("^[A-Z]{2}[0-9]{9}[A-Z]{2}$"), abroad).when(F.length(d) == 20, _check10(d, [3, 1] * 9 + [3])).when(F.length(d) == 22, _check10(d, [3, 1] * 10 + [3])))
+
+
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+
+
+@pandas_udf(BooleanType())
+def _base58check(values: pd.Series) -> pd.Series:
+    import hashlib
+
+    place = {c: k for k, c in enumerate(BASE58)}
+
+    def ok(v: str | None) -> bool | None:
+        if v is None:
+            return None
+        n = 0
+        for c in v:
+            if c not in place:
+                return False
+            n = n * 58 + place[c]
+        if n >= 1 << 200:
+            return False
+        data = n.to_bytes(25, "big")
+        return hashlib.sha256(hashlib.sha256(data[:21]).digest()).digest()[:4] == data[21:]
+
+    return values.map(ok).astype("object")
+
+
+def bitcoin_base58(c: Column) -> Column:
+    """A legacy address: 25 bytes in base 58, the last four a double SHA-256 of the others.  Numbers this long need Python; only what has the form goes there."""
+    return F.when(c.rlike("^[13][1-9A-HJ-NP-Za-km-z]{24,34}$"), _base58check(c)).otherwise(F.lit(False))

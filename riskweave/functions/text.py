@@ -84,7 +84,7 @@ def is_binary(content: Column) -> Column:
     read = F.regexp_replace(F.make_valid_utf8(head.cast("string")), "\uFFFD", "")
     odd = F.length(read) - F.length(F.regexp_replace(read, r"[\p{C}\p{Zl}\p{Zp}&&[^\n\r\t]]", ""))
     n = F.length(head)
-    return F.coalesce((n > 0) & (F.contains(head, F.lit(b"\x00")) | (F.length(read) < 0.5 * n) | (odd > 0.3 * F.length(read))), F.lit(False))
+    return F.coalesce((n > 0) & (F.contains(head, F.lit(b"\x00")) | (F.octet_length(read) < 0.5 * n) | (odd > 0.3 * F.length(read))), F.lit(False))
 
 
 # Letters that scans show for digits.

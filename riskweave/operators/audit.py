@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,18 +18,27 @@ def entry_text(id_: str, timestamp: str, user: str, action: str, details: str, p
 
 
 def chained(entries: DataFrame, chain: str = "chain", order: str = "seq") -> DataFrame:
-    """entries (chain, seq, id, timestamp, user_id, action, details) with prev_hash and entry_hash; one chain is sequential."""
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        before, after, last = [], [], GENESIS
-        for r in pdf.itertuples():
-            before.append(last)
-            last = hashlib.sha256(entry_text(str(r.id), str(r.timestamp), str(r.user_id), str(r.action), str(r.details), last).encode()).hexdigest()
-            after.append(last)
-        return pdf.assign(prev_hash=before, entry_hash=after)
-
-    return entries.groupBy(chain).applyInPandas(link, T.StructType([*entries.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())]))
+    """entries (chain, seq, id, timestamp, user_id, action, details) with prev_hash and entry_hash.
+
+    A chain is sequential, so it is one task's; its rows pass through in order, batch by batch, and are never held whole.
+    """
+
+    columns = entries.columns
+
+    def link(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = None, GENESIS
+        for pdf in parts:
+            before, after = [], []
+            for r in pdf.to_dict("records"):
+                if r[chain] != now or not before and now is None:
+                    now, last = r[chain], GENESIS
+                before.append(last)
+                last = hashlib.sha256(entry_text(*[str(r[c]) for c in ("id", "timestamp", "user_id", "action", "details")], last).encode()).hexdigest()
+                after.append(last)
+            yield pdf.assign(prev_hash=before, entry_hash=after)
+
+    schema = T.StructType([*entries.schema.fields, T.StructField("prev_hash", T.StringType()), T.StructField("entry_hash", T.StringType())])
+    return entries.repartition(F.col(chain)).sortWithinPartitions(chain, order).select(*columns).mapInPandas(link, schema)
 
 
 def broken(entries: DataFrame, chain: str = "chain", order: str = "seq") -> DataFrame:

@@ -6,7 +6,6 @@ whole catalog with offsets through one Arrow pass over the text, as Spark has no
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterable, Iterator
 from datetime import date
@@ -21,8 +20,6 @@ from .rules import RULES, Rule
 
 SPAN = "start int, end int, text string, entity_type string, confidence double, detector string, tier int, rule_ord int"
 MIN_CONFIDENCE = 0.5
-# Least confidence by tier.
-FLOORS = {4: 0.85, 3: 0.90}
 
 #: Rules that need nothing but built-in functions: type -> pattern, confidence of a match (null: none).
 NATIVE = {
@@ -122,17 +119,11 @@ def judge(rule: Rule, value: str) -> float | None:
             ok = _valid_day(y, m, day)
         case "age":
             ok = 0 <= int(value) <= 125
-        case _:
-            raise ValueError(f"no validator {rule.validator}")
+        case _:  # one of the user's, which its own step asks
+            return rule.confidence
     return rule.confidence if ok else None
 
 
-def calibrated(raw: float, tier: int) -> float:
-    if math.isnan(raw):
-        return FLOORS.get(tier, 0.0)
-    return min(1.0, max(FLOORS.get(tier, 0.0), raw))
-
-
 #: Types all of whose matches hold a digit, and what matches of others hold.
 WITH_DIGIT = frozenset("SSN CREDIT_CARD NPI DEA IBAN PHONE IP_ADDRESS DATE TIME DATE_DOB AGE ZIP ADDRESS CUSIP SEDOL ISIN LEI BANK_ROUTING MRN HEALTH_PLAN_ID PASSPORT DRIVERS_LICENSE STUDENT_ID CASE_NUMBER EMPLOYEE_ID CLAIM_NUMBER POLICY_NUMBER ENCOUNTER_ID CAGE_CODE GPA NHS_NUMBER A_NUMBER".split())
 HOLDS = {"EMAIL": "@", "URL": "://", "DATABASE_URL": "://", "JWT": "eyJ", "PRIVATE_KEY": "-----BEGIN", "GOOGLE_API_KEY": "AIza", "GITHUB_TOKEN": "gh", "SLACK_TOKEN": "xox", "STRIPE_KEY": "k_live_", "FIGI": "BBG", "ETHEREUM_ADDRESS": "0x", "BITCOIN_ADDRESS": "bc1", "CLASSIFICATION_MARKING": "//", "NAME_PROVIDER": "Dr"}
@@ -174,6 +165,19 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple
     return arrays.select(key, F.explode("s").alias("s")).select(key, "s.*").where(F.col("confidence") >= min_confidence)
 
 
+def whole(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES, plugins=None, structured: bool = True) -> DataFrame:
+    """The whole detection: rules, label fields and added detectors, cleaned, vetoed by context, calibrated, no two overlapping.
+
+    Offsets are of the text as it is; normalise it before if invisible or look-alike letters matter.
+    """
+    from . import cleanup, context, refine
+    from . import spans as conflicts
+
+    steps = [*(["fields"] if structured else []), *(plugins.steps() if plugins else context.AFTER)]
+    found = cleanup.clean(spans(docs, key, text, tuple(plugins.rules) if plugins else rules))
+    return conflicts.non_overlapping(refine.refine(docs, found, steps, key, text), key)
+
+
 def catalog_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple = RULES) -> DataFrame:
     """key, entity_type, count, confidence (mean) over the whole catalog, spans of one document that conflict resolved."""
     from . import cleanup

@@ -84,17 +84,46 @@ def export_rows(results: DataFrame, between: str = ":", separator: str = "|") ->
     return results.withColumn("entity_count", F.aggregate(F.map_values("entities"), F.lit(0).cast("long"), lambda s, x: s + x)).withColumn("entities", F.array_join(pairs, separator))
 
 
+#: A rank is first bracketed to this share of the rows, by a sketch whose error is a tenth of it.
+BRACKET = 0.001
+
+
 def percentiles(values: DataFrame, column: str, ps: tuple = (50, 95, 99), by: tuple = ()) -> DataFrame:
-    """Nearest-rank percentiles from exact ranks; no list of values is gathered anywhere."""
-    ranked = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*(by or (F.lit(0),))).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*(by or (F.lit(0),)))
-    ranked = ranked.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(every))
-    return ranked.groupBy(*by).agg(F.sum("_n").alias("count"), F.min(column).alias("min"), F.max(column).alias("max"), *[F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * p / 100), F.col(column))).alias(f"p{p}") for p in ps])
+    """Nearest-rank percentiles, exact; no group's values are sorted or gathered in one task.
+
+    A sketch of each group brackets the ranks; then what lies below a bracket is counted, and only the distinct values
+    inside it, some thousandths of the rows, are ranked.
+    """
+    if not by:  # one group: its one row of bounds is broadcast
+        return percentiles(values.withColumn("_whole", F.lit(0)), column, ps, ("_whole",)).drop("_whole")
+    rows = values.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_v"))
+    at = [max(0.0, min(1.0, p / 100 + d)) for p in ps for d in (-BRACKET, BRACKET)]
+    groups = rows.groupBy(*by).agg(F.count("*").alias("count"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.percentile_approx("_v", at, int(10 / BRACKET)).alias("_at"))
+    brackets = F.array(*[F.struct(F.lit(p).alias("p"), F.get("_at", 2 * k).alias("low"), F.get("_at", 2 * k + 1).alias("high")) for k, p in enumerate(ps)])
+    bounds = groups.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], F.explode(brackets).alias("b"))
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{k}"))
+    few = F.broadcast if by == ("_whole",) else lambda x: x
+    met = rows.join(few(bounds), same)  # a group has len(ps) brackets, which every row of it meets
+    kept = met.where(F.col("_v") <= F.col("b.high")).withColumn("_in", F.when(F.col("_v") >= F.col("b.low"), F.col("_v")))
+    counts = kept.groupBy(*by, F.col("b.p").alias("p"), "_in").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*by, "p").orderBy(F.col("_in").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("upto", upto).where("_in is not null")
+    whole = groups.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "count", "min", "max")
+    joined = ranked.join(few(whole), same)
+    found = [F.min(F.when((F.col("p") == p) & (F.col("upto") > F.floor(F.col("count") * p / 100)), F.col("_in"))).alias(f"p{p}") for p in ps]
+    return joined.groupBy(*by, "count", "min", "max").agg(*found)
+
+
+PARTS = 64
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, sizes: dict, seed: int = 1) -> DataFrame:
-    """So many rows of each stratum, chosen by a hash of the key: reruns agree."""
+    """So many rows of each stratum, chosen by a hash of the key: reruns agree.  A stratum's parts choose first, so no task ranks it whole."""
     want = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col(stratum)), F.lit(0))
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= want).drop("_rank")
+    ordered = rows.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    ordered = ordered.withColumn("_part", F.pmod(F.xxhash64("_hash"), F.lit(PARTS)))
+    for keys in ((stratum, "_part"), (stratum,)):
+        ordered = ordered.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", key))).where(F.col("_rank") <= want)
+    return ordered.drop("_rank", "_hash", "_part")

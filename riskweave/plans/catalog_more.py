@@ -286,3 +286,94 @@ def text_checks(spark, d):
 @query("""SELECT n_nationkey, 'id 123-45-6789 on 10/05/1980, ' || n_name || ' will sell lO' AS text FROM nation""")
 def scanned_digits(spark, d):
     return _t(spark, d, "nation").select("n_nationkey", text.repaired_digits(F.concat(F.lit("id l23-4S-67B9 on 1O/O5/l98O, ").substr(1, 0), F.lit("id l23-4S-6789 on 1O/O5/l98O, "), "n_name", F.lit(" will sell lO"))).alias("text"))
+
+
+@query("""SELECT c_custkey AS doc_id, CASE c_custkey % 6 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'ADDRESS' WHEN 2 THEN 'ADDRESS' WHEN 3 THEN 'NAME' ELSE 'SSN' END AS entity_type,
+ CASE c_custkey % 6 WHEN 0 THEN 0.95 WHEN 1 THEN 0.88 WHEN 2 THEN 0.9 * 0.85 WHEN 3 THEN 0.85 ELSE 0.99 END::DOUBLE AS confidence, CASE c_custkey % 6 WHEN 3 THEN 2 ELSE 1 END AS spans FROM customer WHERE c_custkey % 6 <> 5""")
+def whole_detection(spark, d):
+    """Rules, label fields, context and clean-up together."""
+    k = F.col("c_custkey")
+    made = F.when(k % 6 == 0, F.concat(F.lit("E-mail: a"), k.cast("string"), F.lit("@mail.org"))).when(k % 6 == 1, F.lit("he lives at 12 Long Oak Street since then")).when(k % 6 == 2, F.lit("Mr. Springfield came"))
+    made = made.when(k % 6 == 3, F.lit("Mr. Adam Smith wrote. Adam Smith left")).when(k % 6 == 4, F.concat(F.lit("ssn "), F.lpad((100 + k % 500).cast("string"), 3, "0"), F.lit("-12-3456 known"))).otherwise(F.lit("nothing to see"))
+    docs = _t(spark, d, "customer").select(k.alias("doc_id"), made.alias("text"))
+    found = detect.whole(docs)
+    return found.groupBy("doc_id", "entity_type").agg(F.round(F.max("confidence"), 9).alias("confidence"), F.count("*").cast("int").alias("spans"))
+
+
+@query("""WITH s AS (SELECT c_custkey, v, CASE v WHEN 1 THEN c_custkey % 90 ELSE c_custkey % 50 END AS score FROM customer, (VALUES (1), (2)) t(v))
+ SELECT '/f/' || c_custkey AS path, CASE v WHEN 1 THEN 'scanner' ELSE 'dlp' END AS source, max(score) OVER (PARTITION BY c_custkey)::INT AS score, 'EMAIL:' || c_custkey AS value, c_custkey % 2 = 0 AND v = 1 AS rescanned FROM s""")
+def vault_rows(spark, d):
+    """Stored, stored again for some, opened with the key; with another key nothing opens."""
+    from ..operators import vault
+
+    k, key = F.col("c_custkey"), F.lit("0123456789abcdef").cast("binary")
+    base = _t(spark, d, "customer").select(k, F.concat(F.lit("/f/"), k.cast("string")).alias("path"), F.lit("h").alias("file_hash"))
+    spans = base.select("path", F.lit(0).alias("start"), F.lit(5).alias("end"), k.cast("string").alias("text"), F.lit("EMAIL").alias("entity_type"), F.lit(0.9).alias("confidence"))
+
+    def scan(score, source, at, which="true"):
+        rows = base.where(which).select("path", "file_hash", F.lit(at).cast("timestamp").alias("scanned_at"), score.cast("int").alias("score"), F.lit("LOW").alias("tier"))
+        return vault.entries(rows, spans, key, source)
+
+    old = scan(k % 90, "scanner", "2024-01-01").unionByName(scan(k % 50, "dlp", "2024-01-02"))
+    rows = vault.stored(old, scan(k % 90, "scanner", "2024-02-01", "c_custkey % 2 = 0"))
+    open_ = vault.opened(rows, key)
+    assert vault.opened(rows.limit(1), F.lit("another key 16 b").cast("binary")).where("spans is not null").count() == 0
+    value = F.concat(F.element_at("spans", 1)["entity_type"], F.lit(":"), F.element_at("spans", 1)["text"])
+    return open_.select("path", "source", "score", value.alias("value"), (F.col("scanned_at") > F.lit("2024-01-15").cast("timestamp")).alias("rescanned"))
+
+
+@query("""WITH e AS (SELECT user_id AS job_id, event_id AS seconds, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 70 END AS score FROM events),
+ g AS (SELECT job_id, floor(seconds / 50) AS step, max(seconds) AS seconds, count(*) AS n, sum((score > 0)::INT) AS r, max(score) AS m FROM e GROUP BY 1, 2)
+ SELECT job_id, seconds, sum(n) OVER w AS scanned, sum(r) OVER w AS with_risk, max(m) OVER w AS largest FROM g WINDOW w AS (PARTITION BY job_id ORDER BY step)""")
+def job_progress(spark, d):
+    from ..operators import jobs
+
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seconds"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 70).alias("score"))
+    return jobs.progress(rows, throttle=50)
+
+
+@query("""SELECT event_type AS detector, count(*) AS calls, round(avg(value), 6) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms, sum(user_id % 4)::BIGINT AS found FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def detector_timings(spark, d):
+    from ..operators import jobs
+
+    rows = _t(spark, d, "events").where("value is not null").select(F.col("event_type").alias("detector"), F.col("value").alias("ms"), (F.col("user_id") % 4).alias("found"))
+    return jobs.timings(rows).withColumn("mean_ms", F.round("mean_ms", 6))
+
+
+@query("""SELECT p_partkey AS path, CASE WHEN p_partkey % 4 = 0 THEN 'content' ELSE 'time' END AS reason FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 5 = 0""")
+def changed_during_scan(spark, d):
+    from ..operators import jobs
+
+    before = _t(spark, d, "part").select(F.col("p_partkey").alias("path"), F.lit("a").alias("content_hash"), F.lit(1.0).alias("mtime"))
+    k = F.col("path")
+    after = before.withColumn("content_hash", F.when(k % 4 == 0, "b").otherwise("a")).withColumn("mtime", F.when((k % 5 == 0) | (k % 4 == 0), 2.0).otherwise(1.0))
+    return jobs.changed_meanwhile(before, after)
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, 2 AS n, 'EMAIL' AS first_type, 'a' || c_custkey AS first_text FROM customer""")
+def annotated_corpus(spark, d):
+    """The three layouts, read from JSON, mean the same."""
+    from ..sources import corpora
+
+    k = F.col("c_custkey").cast("string")
+    text = F.concat(F.lit("a"), k, F.lit(" and b"))
+    end = (F.length(k) + 1).cast("int")
+    spans = F.array(F.struct(F.lit(0).alias("start"), end.alias("end"), F.lit("EMAIL").alias("label")), F.struct((end + 5).alias("start"), (end + 6).alias("end"), F.lit("X").alias("label")))
+    other = F.array(F.struct(F.lit(0).alias("start_offset"), end.alias("end_offset"), F.lit("EMAIL").alias("type"), F.concat(F.lit("a"), k).alias("value")), F.struct((end + 5).alias("start_offset"), (end + 6).alias("end_offset"), F.lit("X").alias("type"), F.lit("b").alias("value")))
+    rows = [F.to_json(F.struct(k.alias("id"), text.alias("source_text"), F.lit("m").alias("privacy_mask"), spans.alias("span_labels"))), F.to_json(F.struct(k.alias("id"), text.alias("text"), other.alias("entities"))), F.to_json(F.struct(k.alias("id"), text.alias("content"), spans.alias("labels")))]
+    made = _t(spark, d, "customer").select(F.when(F.col("c_custkey") % 3 == 0, rows[0]).when(F.col("c_custkey") % 3 == 1, rows[1]).otherwise(rows[2]).alias("j"))
+    found = corpora.normal(made.select(F.from_json("j", corpora.SAMPLE).alias("s")).select("s.*"))
+    return found.select("id", F.size("entities").alias("n"), F.get("entities", 0)["type"].alias("first_type"), F.get("entities", 0)["text"].alias("first_text"))
+
+
+@query("""SELECT * FROM (VALUES ('1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa', true), ('1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb', false), ('1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2', true), ('3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy', true), ('0OIl', false)) t(address, valid)""")
+def bitcoin_addresses(spark, d):
+    rows = spark.createDataFrame([(x,) for x in ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "1BvBMSEYstWetqTFn5Au4m4GFg7xJaNVN2", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "0OIl")], "address string")
+    return rows.select("address", checksums.bitcoin_base58(F.col("address")).alias("valid"))
+
+
+@query("WITH " + _JOBS + " SELECT seq, priority FROM q ORDER BY priority DESC, seq LIMIT 20 OFFSET 40")
+def result_page(spark, d):
+    from ..operators import jobs
+
+    return jobs.page(queue_priority(spark, d).select("seq", "priority"), [F.desc("priority"), F.col("seq")], 3, 20)
