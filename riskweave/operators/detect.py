@@ -125,8 +125,8 @@ def judge(rule: Rule, value: str) -> float | None:
 
 
 #: Types all of whose matches hold a digit, and what matches of others hold.
-WITH_DIGIT = frozenset("SSN CREDIT_CARD NPI DEA IBAN PHONE IP_ADDRESS DATE TIME DATE_DOB AGE ZIP ADDRESS CUSIP SEDOL ISIN LEI BANK_ROUTING MRN HEALTH_PLAN_ID PASSPORT DRIVERS_LICENSE STUDENT_ID CASE_NUMBER EMPLOYEE_ID CLAIM_NUMBER POLICY_NUMBER ENCOUNTER_ID CAGE_CODE GPA NHS_NUMBER A_NUMBER".split())
-HOLDS = {"EMAIL": "@", "URL": "://", "DATABASE_URL": "://", "JWT": "eyJ", "PRIVATE_KEY": "-----BEGIN", "GOOGLE_API_KEY": "AIza", "GITHUB_TOKEN": "gh", "SLACK_TOKEN": "xox", "STRIPE_KEY": "k_live_", "FIGI": "BBG", "ETHEREUM_ADDRESS": "0x", "BITCOIN_ADDRESS": "bc1", "CLASSIFICATION_MARKING": "//", "NAME_PROVIDER": "Dr"}
+WITH_DIGIT = frozenset("SSN CREDIT_CARD NPI DEA IBAN PHONE IP_ADDRESS DATE TIME DATE_DOB AGE ZIP ADDRESS CUSIP SEDOL ISIN LEI BANK_ROUTING MRN HEALTH_PLAN_ID PASSPORT DRIVERS_LICENSE STUDENT_ID CASE_NUMBER EMPLOYEE_ID CLAIM_NUMBER POLICY_NUMBER ENCOUNTER_ID CAGE_CODE GPA NHS_NUMBER A_NUMBER DOGECOIN_ADDRESS DOD_CONTRACT GSA_CONTRACT GPS_COORDINATES SSN_PARTIAL CREDIT_CARD_PARTIAL SIN TFN AADHAAR CURP SVNR MEDICARE_ID NDC PHONE_EXT FAX PAGER DATETIME HEIGHT WEIGHT BMI INMATE_NUMBER SEVIS_ID PETITION_NUMBER GREEN_CARD_NUMBER EAD_NUMBER MEMBER_ID DUNS_NUMBER ABA_ROUTING ACCOUNT_NUMBER CERTIFICATE_NUMBER STATE_ID MEDICAL_LICENSE MILITARY_ID ACCESSION_ID PHARMACY_ID ROOM_NUMBER BED_NUMBER AUTH_NUMBER RX_NUMBER ENROLLMENT_ID FINANCIAL_AID_ID TRANSCRIPT IEP_ID TEACHER_ID BAR_NUMBER PACER_ID ARREST_RECORD PROBATION_ID WARRANT_NUMBER VISA_NUMBER I94_NUMBER TRAVEL_DOCUMENT_NUMBER NATURALIZATION_NUMBER".split())
+HOLDS = {"EMAIL": "@", "URL": "://", "DATABASE_URL": "://", "JWT": "eyJ", "PRIVATE_KEY": "-----BEGIN", "GOOGLE_API_KEY": "AIza", "GITHUB_TOKEN": "gh", "SLACK_TOKEN": "xox", "STRIPE_KEY": "k_live_", "FIGI": "BBG", "ETHEREUM_ADDRESS": "0x",  "CLASSIFICATION_MARKING": "//", "NAME_PROVIDER": "Dr"}
 _DIGIT = re.compile("[0-9]")
 
 
@@ -134,8 +134,9 @@ def matches(text: str | None, compiled: list) -> list[dict]:
     """Spans of one text; of the rules of a type that find the same place the first wins."""
     out, seen = [], set()
     digit = bool(text and _DIGIT.search(text))
+    low = text.lower() if text else ""
     for k, rule, pattern in compiled if text else ():
-        if not digit and rule.type in WITH_DIGIT or HOLDS.get(rule.type, "") not in text:
+        if not digit and rule.type in WITH_DIGIT or HOLDS.get(rule.type, "") not in text or rule.hints and not any(h in low for h in rule.hints):
             continue
         for m in pattern.finditer(text):
             start, end = m.span(rule.group)

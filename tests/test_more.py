@@ -234,3 +234,34 @@ def test_corpus_file(spark, tmp_path):
 
 def test_rights(spark):
     assert spark.range(1).select(exposure.rights(F.lit(0x80000003).cast("long")).alias("r")).first().r == ["READ_DATA", "WRITE_DATA", "GENERIC_READ"]
+
+
+EXAMPLES = {
+    "EMPLOYER": "Employer: Acme Corp", "NAME_RELATIVE": "wife: Ann Lee", "FACILITY": "at Saint Mary Hospital now", "SOLANA_ADDRESS": "Solana wallet: " + "4Nd1mYQzX7vL" * 3, "CARDANO_ADDRESS": "addr1" + "q9" * 30,
+    "LITECOIN_ADDRESS": "ltc1" + "q9" * 15, "DOGECOIN_ADDRESS": "D9" + "aB3" * 10 + "cd", "XRP_ADDRESS": "XRP: r" + "aB3" * 9, "CRYPTO_SEED_PHRASE": "seed phrase: " + " ".join(["apple"] * 12), "SCI_MARKING": "TS//SCI",
+    "ITAR_MARKING": "ITAR controlled", "EAR_MARKING": "ECCN: 5A002", "DOD_CONTRACT": "W91CRB-08-D-0012", "GSA_CONTRACT": "GS-35F-0119Y", "GPS_COORDINATES": "at 48.85837, 2.29448", "SSN_PARTIAL": "SSN ending in 6789",
+    "CREDIT_CARD_PARTIAL": "card ending in 1111", "SIN": "SIN: 046 454 286", "TFN": "TFN 123 456 782", "AADHAAR": "Aadhaar 2345 6789 0123", "CURP": "BADD110313HCMLNS09", "SVNR": "SVNR 1237 010180", "MEDICARE_ID": "1EG4-TE5-MK73", "NDC": "NDC 0002-1433-80",
+    "PHONE_EXT": "555-1234 ext. 42", "FAX": "Fax: 212-555-0100", "PAGER": "pager 555-0100", "DATETIME": "2024-01-02T03:04:05Z", "BLOOD_TYPE": "blood type: O+", "HEIGHT": "Height: 180 cm", "WEIGHT": "weight: 80 kg", "BMI": "BMI 22.5",
+    "INMATE_NUMBER": "inmate 12345-678", "SEVIS_ID": "N0012345678", "PETITION_NUMBER": "EAC2190012345", "GREEN_CARD_NUMBER": "green card: SRC0123456789", "EAD_NUMBER": "EAD SRC0123456789", "LICENSE_PLATE": "license plate: ABC-1234",
+    "MEMBER_ID": "member 12345678", "DUNS_NUMBER": "DUNS: 12-345-6789", "UEI": "UEI: J1K2L3M4N5P6", "ABA_ROUTING": "ABA 021000021", "ACCOUNT_NUMBER": "account no. 12345678", "CERTIFICATE_NUMBER": "certificate 123456", "UNIQUE_ID": "UID: ABC12345",
+    "STATE_ID": "state id: 1234567", "MEDICAL_LICENSE": "medical license A12345", "MILITARY_ID": "EDIPI 1234567890", "ACCESSION_ID": "accession: S-12345", "PHARMACY_ID": "NCPDP 1234567", "ROOM_NUMBER": "room 12B", "BED_NUMBER": "bed 3",
+    "AUTH_NUMBER": "authorization 123456", "RX_NUMBER": "Rx# 1234567", "ENROLLMENT_ID": "enrollment E123456", "FINANCIAL_AID_ID": "FAFSA 12345678", "TRANSCRIPT": "transcript T123456", "IEP_ID": "IEP 12345", "TEACHER_ID": "teacher T1234",
+    "BAR_NUMBER": "bar no. 123456", "PACER_ID": "PACER 123456", "ARREST_RECORD": "booking 123456", "PROBATION_ID": "parole 123456", "WARRANT_NUMBER": "warrant W123456", "VISA_NUMBER": "visa 12345678", "I94_NUMBER": "I-94: 123456789A1",
+    "TRAVEL_DOCUMENT_NUMBER": "travel document 12345678", "NATURALIZATION_NUMBER": "naturalization certificate 12345678", "SSN": "123-45-6789", "EMAIL": "a@b.com", "BITCOIN_ADDRESS": "bc1" + "q9" * 10, "IBAN": "DE89370400440532013000",
+}
+
+
+def test_every_rule_type_finds_its_example(spark):
+    rows = sorted(EXAMPLES.items())
+    found = detect.spans(spark.createDataFrame([(t, f"x {e} y") for t, e in rows], "doc_id string, text string")).select("doc_id", "entity_type").distinct().collect()
+    types = {t: {r.entity_type for r in found if r.doc_id == t} for t, _ in rows}
+    assert [t for t in types if t not in types[t]] == []
+
+
+def test_hints_lose_nothing(spark):
+    from riskweave.operators.rules import RULES
+
+    texts = [f"x {e} y" for e in EXAMPLES.values()] + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    plain = tuple(r._replace(hints=()) for r in RULES)
+    assert sorted(detect.spans(docs).collect()) == sorted(detect.spans(docs, rules=plain).collect())
