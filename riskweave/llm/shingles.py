@@ -3,13 +3,20 @@
 A text's words (runs of letters, digits and the like, lower-cased) give its set of WORDS-word shingles; a text with
 fewer words has its word sequence as its one shingle, a text without words has none and is linked with nothing.  Texts
 with equal sets are one entry with a count.  An entry has `bands` band hashes, each of `rows` minima; both are chosen
-for the target recall at the least similarity.  Band hashes are shuffled, entries that share one become candidates, and
-the candidates' components are dealt in blocks times blocks, where every pair is compared on the full sets.  From a
-block come the number of links of each entry and the edges of a spanning forest, so a group of any size is neither
-expanded into pairs nor kept in one task.  Links between copies count too, by the entries' counts.
+for the target recall at the least similarity.  Band hashes are shuffled, entries that share one become candidates:
 
-Rows: null or blank text is kept and linked with nothing.  Rows that share doc_id are rows like others; null doc_id is
-allowed and is no group's id unless nothing else is there.  Ties for the document that stays go to the least doc_id.
+  1. Each entry is compared with one other, the least that it shares a band with.  The links found join entries to
+     groups, by nothing but links that hold.
+  2. Within a group all pairs are compared: those of a large group of near copies once, not band by band.
+  3. Entries of different groups are compared where they share a band, each pair in the first band that it shares.
+
+All comparisons are on the full sets, dealt in blocks times blocks.  From a block come the number of links of each
+entry and the edges of a spanning forest, so a group of any size is neither expanded into pairs nor kept in one task.
+Links between copies count too, by the entries' counts.
+
+Rows: null or blank text is kept and linked with nothing.  Rows that share doc_id are rows like others; a null doc_id
+comes last.  Of linked rows the first by doc_id, then by a hash of the text, stays; deduplicate() keeps one of rows
+alike in both.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import cut
+from ._support import cut, scratch
 from .graph import components
 from .vectors import _forest
 
@@ -114,22 +121,22 @@ def _print(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> DataFrame:
-    """docs (id, text) -> id, mark (128-bit hash of the set; null without words), node, n_shingles, bands."""
+    """docs (id, row, text) -> id, row, mark (128-bit hash of the set; null without words), node, n_shingles, bands."""
     signer = Signer(bands, rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             marks, sizes, signed = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 found = shingler(x.as_py())
                 marks.append(_print(found) if len(found) else None)
                 sizes.append(len(found))
                 signed.append(signer(found) if len(found) else None)
             nodes = [None if m is None else int.from_bytes(m[:8], "little", signed=True) for m in marks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=["id", "mark", "node", "n_shingles", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], names=["id", "row", "mark", "node", "n_shingles", "bands"])
 
-    return docs.mapInArrow(sign, "id long, mark binary, node long, n_shingles long, bands array<long>")
+    return docs.mapInArrow(sign, "id long, row long, mark binary, node long, n_shingles long, bands array<long>")
 
 
 def _pairs(here: list, there: list, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -158,21 +165,55 @@ def _pairs(here: list, there: list, least: float) -> tuple[np.ndarray, np.ndarra
     return np.nonzero(common >= least * (nx[:, None] + ny[None] - common) - 1e-6)
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
-    """docs -> key, copy_id (least id with an equal set), class_id (least id that links reach), n_links, n_shingles, kept."""
+def _first_shared(x: list, y: list) -> np.ndarray:
+    """For each pair of band lists the place of the first band that is in both."""
+    out = np.empty(len(x), np.int64)
+    for at in range(0, len(x), 65536):
+        out[at: at + 65536] = (np.stack(x[at: at + 65536]) == np.stack(y[at: at + 65536])).argmax(axis=1)
+    return out
+
+
+def _compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The links between blocks p and q of one group; where `k` is not negative, those between members of different groups whose first shared band is the k-th."""
+    p, q, k = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0]), int(pdf["k"].iloc[0])
+    nodes, many, block, of = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy(), pdf["component"].to_numpy()
+    found = [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]]
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(left) and len(right):
+        a, b = _pairs([found[i] for i in left], [found[i] for i in right], least)
+        a, b = left[a], right[b]
+        if p == q:
+            a, b = a[a < b], b[a < b]
+        if k >= 0:
+            other = of[a] != of[b]
+            a, b = a[other], b[other]
+            if len(a):
+                bands = pdf["bands"].tolist()
+                here = _first_shared([bands[i] for i in a], [bands[i] for i in b]) == k
+                a, b = a[here], b[here]
+    counts = np.bincount(a, many[b], len(nodes)) + np.bincount(b, many[a], len(nodes))
+    some = np.flatnonzero(counts)
+    tree = _forest(len(nodes), a, b)
+    return pd.DataFrame({
+        "node": pd.Series([*nodes[some], *(nodes[x] for x, _ in tree)], dtype="int64"),
+        "links": pd.Series([*counts[some].astype(np.int64), *([0] * len(tree))], dtype="int64"),
+        "to": pd.Series([*([None] * len(some)), *(int(nodes[y]) for _, y in tree)], dtype="Int64"),
+    })
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, least: float, recall: float, most_hashes: int) -> DataFrame:
+    """docs -> id, row (hash of the text), n_shingles; for rows with words also n_links, copy_id, and the class's first id and row."""
     bands, rows = choose_bands(least, recall, most_hashes)
-    kind = docs.schema[key].dataType.simpleString()
-    plain = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).cast("string").alias("text"))
     signed = cut(signatures(plain, bands, rows, words))
-    entries = cut(signed.where("mark is not null").groupBy("mark").agg(F.first("node").alias("node"), F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    entries = cut(signed.where("mark is not null").groupBy("mark").agg(F.first("node").alias("node"), first, F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
 
-    banded = entries.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("band", "first")
-    near = banded.join(shared, "band").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    groups = components(near)
-    members = cut(entries.select("mark", "node", "least_id", "n", "n_shingles").join(groups, "node"))
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "mark"), F.col("blocks")))
+    banded = entries.select("node", F.posexplode("bands").alias("k", "band"))
+    shared = banded.groupBy("k", "band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("k", "band", "first")
+    near = cut(banded.join(shared, ["k", "band"]))
+    wanted = cut(near.groupBy("node").agg(F.min("first").alias("to")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -182,52 +223,70 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
                 found = [shingler(x.as_py()) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["mark", "shingles"])
 
-    # the texts of the candidates alone, each once; an id that several texts share brings others, which their marks tell apart
-    wanted = members.select("least_id").distinct()
-    texts = plain.join(wanted, F.col("id").eqNullSafe(F.col("least_id")), "left_semi").select("text").where(F.col("text").isNotNull())
-    full = cut(texts.mapInArrow(sets, "mark binary, shingles array<long>").dropDuplicates(["mark"]))
-    dealt = placed.join(full, "mark").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "n", "shingles")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        nodes, many, block = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy()
-        found = [np.asarray(x, dtype=np.int64) for x in pdf["shingles"]]
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(left) and len(right):
-            a, b = _pairs([found[k] for k in left], [found[k] for k in right], least)
-            a, b = left[a], right[b]
-            if p == q:
-                a, b = a[a < b], b[a < b]
-        counts = np.bincount(a, many[b], len(nodes)) + np.bincount(b, many[a], len(nodes))
-        some = np.flatnonzero(counts)
-        tree = _forest(len(nodes), a, b)
-        return pd.DataFrame({
-            "node": pd.Series([*nodes[some], *(nodes[x] for x, _ in tree)], dtype="int64"),
-            "links": pd.Series([*counts[some].astype(np.int64), *([0] * len(tree))], dtype="int64"),
-            "to": pd.Series([*([None] * len(some)), *(int(nodes[y]) for _, y in tree)], dtype="Int64"),
-        })
-
-    found = cut(dealt.groupBy("component", "p", "q").applyInPandas(compare, "node long, links long, to long"))
+    # the texts of the candidates alone, each once: rows alike in id and text are alike in their sets
+    ids = entries.join(wanted.select("node"), "node", "left_semi").select("first.id", "first.row")
+    texts = plain.join(ids.select(F.col("id").alias("i"), F.col("row").alias("r")), F.col("id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left_semi").select("text").where(F.col("text").isNotNull())
+    full = texts.mapInArrow(sets, "mark binary, shingles array<long>").dropDuplicates(["mark"])
+    full = cut(full.join(entries.select("mark", "node", "n", "n_shingles", "bands"), "mark").drop("mark"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2), batch.column(3)
+            ok = []
+            for i in range(batch.num_rows):
+                u, v = x[i].values.to_numpy(), y[i].values.to_numpy()
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(common >= least * (len(u) + len(v) - common) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    one = wanted.where("node <> to").join(full.select("node", F.col("shingles").alias("x")), "node").join(full.select(F.col("node").alias("to"), F.col("shingles").alias("y")), "to")
+    groups = components(one.select(F.col("node").alias("a"), F.col("to").alias("b"), "x", "y").mapInArrow(linked, "a long, b long"))
+    members = cut(full.select("node", "n_shingles").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
+
+    many = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks")
+    inside = members.join(members.groupBy("component").agg(many, F.count("*").alias("c")).where("c > 1").drop("c"), "component").select("node", "component", F.lit(-1).alias("k"), F.col("component").alias("band"), "blocks")
+    meeting = near.select("node", "k", "band").join(members, "node")
+    mixed = meeting.groupBy("k", "band").agg(many, F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("c"), *[F.sum(F.xxhash64(F.lit(x), "node").cast("decimal(38,0)")).alias(f"s{x}") for x in (1, 2)]).where("low <> high")
+    # bands that bring the same entries together are one: the first, where pairs are counted anyway
+    mixed = mixed.groupBy("low", "high", "c", "s1", "s2").agg(F.min(F.struct("k", "band", "blocks")).alias("f")).select("f.*")
+    across = meeting.join(mixed, ["k", "band"]).select("node", "component", "k", "band", "blocks")
+    placed = inside.unionByName(across).withColumn("block", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = placed.join(full.select("node", "n", "shingles", "bands"), "node")
+    dealt = dealt.select("k", "band", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "component", "node", "n", "shingles", F.when(F.col("k") >= 0, F.col("bands")).alias("bands"))
+    found = cut(dealt.groupBy("k", "band", "p", "q").applyInPandas(lambda pdf: _compare(pdf, least), "node long, links long, to long"))
+
     joined = components(found.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    of = cut(entries.select("mark", "node", "least_id", "n").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    least_of = of.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    known = of.join(least_of, "component").select("mark", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least_id").alias("copy_id"), "class_id")
-    return signed.select("id", "mark", "n_shingles").join(known, "mark", "left").select(
-        F.col("id").cast(kind).alias(key), F.coalesce("copy_id", "id").alias("copy_id"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", F.coalesce(F.col("id") == F.coalesce("class_id", "id"), F.lit(True)).alias("kept"))
-
-
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without those that are linked to an earlier one; of rows that share the id that stays, one stays."""
-    decided = cut(join(docs, key, text, **options).select(F.col(key).alias("_id"), "kept", "n_shingles"))
-    gone = decided.where("not kept").select("_id").distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_id"), "left_anti")
-    repeated = decided.where("kept and n_shingles > 0 and _id is not null").groupBy("_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        mark = F.xxhash64(F.col(text))
-        rest = kept.where(F.col(key).isNull())
-        kept = kept.where(F.col(key).isNotNull()).withColumn("_mark", mark).dropDuplicates([key, "_mark"]).drop("_mark").unionByName(rest)
-    return kept
+    of = cut(entries.select("mark", "node", "first", "n").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    known = of.join(of.groupBy("component").agg(F.min("first").alias("top")), "component").select(
+        "mark", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("first.id").alias("copy_id"), F.col("top.id").alias("class_id"), F.col("top.row").alias("class_row"))
+    return cut(signed.select("id", "row", "mark", "n_shingles").join(known, "mark", "left").drop("mark"), keep=True)
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """docs -> key, copy_id (first id with an equal set), class_id (first id that links reach), n_links, n_shingles, kept."""
+    kind = docs.schema[key].dataType.simpleString()
+    with scratch(docs.sparkSession):
+        rows = _classes(docs, key, text, words, least, recall, most_hashes)
+    free = F.col("n_links").isNull()
+    return rows.select(
+        F.col("id").cast(kind).alias(key), F.when(free, F.col("id")).otherwise(F.col("copy_id")).alias("copy_id"), F.when(free, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_shingles", (free | _is_first()).alias("kept"))
+
+
+def _is_first():
+    return F.col("id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("class_row"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, least: float = LEAST, recall: float = RECALL, most_hashes: int = MOST_HASHES) -> DataFrame:
+    """docs without those that are linked to an earlier one; of rows alike in id and text one stays, unless they have no words."""
+    with scratch(docs.sparkSession):
+        rows = _classes(docs, key, text, words, least, recall, most_hashes).where("n_links is not null")
+        gone = cut(rows.where(~_is_first()).select(F.col("id").alias("_id_of_gone"), F.col("row").alias("_mark_of_gone")).distinct(), keep=True)
+        again = cut(rows.where(_is_first()).groupBy("id", "row").count().where("count > 1").select(F.col("id").alias("_id_of_gone"), F.col("row").alias("_mark_of_gone")), keep=True)
+    marked = docs.withColumn("_mark_of_text", F.xxhash64(text))
+    same = F.col(key).cast("long").eqNullSafe(F.col("_id_of_gone")) & (F.col("_mark_of_text") == F.col("_mark_of_gone"))
+    kept = marked.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        kept = kept.join(again, same, "left_anti").unionByName(marked.join(again, same, "left_semi").dropDuplicates([key, "_mark_of_text"]))
+    return kept.select(*docs.columns)
