@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import csv
+import bz2
 import gzip
 import io
+import lzma
 import tarfile
 import zipfile
 from collections.abc import Iterator
@@ -21,13 +23,30 @@ MOST_DEPTH, MOST_MEMBERS, MOST_RATIO = 3, 1000, 100
 MOST_ROWS = 50_000
 
 
-def listing(spark: SparkSession, path: str, recursive: bool = True, hidden: bool = False, extensions: tuple = ()) -> DataFrame:
-    """path, modificationTime, length, content; Spark reads the content only where a query asks for it."""
+def listing(spark: SparkSession, path: str, recursive: bool = True, hidden: bool = False, extensions: tuple = (), max_files: int | None = None) -> DataFrame:
+    """path, modificationTime, length, content; Spark reads the content only where a query asks for it.  max_files takes the first by path."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     rows = rows if hidden else rows.where(~F.substring_index("path", "/", -1).rlike(r"^\."))
+    rows = rows if max_files is None else rows.orderBy("path").limit(max_files)
     return rows.where(F.lower(F.substring_index("path", ".", -1)).isin(*[e.lstrip(".").lower() for e in extensions])) if extensions else rows
 
 
+def metadata(files: DataFrame) -> DataFrame:
+    """path, name, extension, kind (by content, else by name), size_bytes, modified, content_hash, quick_hash, encrypted of listed files."""
+    from ..functions import text
+
+    head = F.substring("content", 1, 512)
+    # an encrypted zip sets the first flag of its first entry; Office wraps encrypted files in a compound document
+    flagged = F.startswith(head, F.lit(b"PK\x03\x04")) & (F.conv(F.hex(F.substring("content", 7, 1)), 16, 10).cast("int").bitwiseAND(1) == 1)
+    wrapped = F.startswith(head, F.lit(bytes.fromhex("D0CF11E0A1B11AE1"))) & F.lower("path").rlike(r"\.(?:docx|xlsx|pptx)$")
+    locked = F.contains(F.substring("content", -2048, 2048), F.lit(b"/Encrypt")) & F.startswith(head, F.lit(b"%PDF"))
+    name = F.substring_index("path", "/", -1)
+    return files.select(
+        "path", name.alias("name"), F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1))).otherwise("").alias("extension"),
+        F.coalesce(kind_by_content(F.col("content")), kind_by_name(F.col("path"))).alias("kind"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"),
+        text.content_hash(F.col("content")).alias("content_hash"), text.quick_hash(F.col("content")).alias("quick_hash"), F.coalesce(flagged | wrapped | locked, F.lit(False)).alias("encrypted"))
+
+
 def kind_by_name(path: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in EXTENSIONS.items() for x in kv]), F.lower(F.substring_index(path, ".", -1)))
 
@@ -120,46 +139,61 @@ def text_of(name: str, data: bytes) -> str:
     return ""
 
 
+class Limit(Exception):
+    """An archive holds more than is taken; what was read before stays."""
+
+
+PACKED = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
+ARCHIVES = (".zip", ".tar", ".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz")
+
+
 def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
-    """Members of an archive and of archives in it; unsafe names, bombs and what is beyond the limits are left out."""
-    low, taken, total = name.lower(), 0, 0
+    """Members of an archive and of archives in it, without those of unsafe names; Limit beyond a limit."""
+    low, taken, total, most = name.lower(), 0, 0, min(MOST_BYTES, MOST_RATIO * max(1024, len(data)))
     found: Iterator[tuple[str, int, object]] = iter(())
     if depth > MOST_DEPTH:
-        return
-    if low.endswith((".tar", ".tar.gz", ".tgz")):
+        raise Limit("nested too deep")
+    if low.endswith(ARCHIVES) and not low.endswith(".zip"):
         tar = tarfile.open(fileobj=io.BytesIO(data))
         found = ((m.name, m.size, lambda m=m: tar.extractfile(m).read()) for m in tar if m.isfile())
     elif low.endswith(".zip"):
         archive = zipfile.ZipFile(io.BytesIO(data))
         found = ((m.filename, m.file_size, lambda m=m: archive.read(m)) for m in archive.infolist() if not m.is_dir())
-    elif low.endswith(".gz"):
-        found = iter([(name[:-3].rpartition("/")[2], 0, lambda: gzip.GzipFile(fileobj=io.BytesIO(data)).read(MOST_BYTES))])
+    elif low.endswith(tuple(PACKED)):
+        opened = PACKED["." + low.rpartition(".")[2]](io.BytesIO(data))
+        inner = opened.read(most + 1)
+        found = iter([(name.rpartition(".")[0].rpartition("/")[2], len(inner), lambda: inner)])
     for member, size, read in found:
         taken, total = taken + 1, total + size
-        if taken > MOST_MEMBERS or total > min(MOST_BYTES, MOST_RATIO * max(1024, len(data))):
-            return
+        if taken > MOST_MEMBERS:
+            raise Limit("too many members")
+        if total > most:
+            raise Limit("too large unpacked")
         if member.startswith("/") or ".." in member.split("/"):
             continue
         inner = read()
-        if member.lower().endswith((".zip", ".tar", ".tgz", ".gz")):
-            yield from ((f"{member}/{n}", b) for n, b in _members(member, inner, depth + 1))
+        if member.lower().endswith((*ARCHIVES, *PACKED)):
+            for n, b in _members(member, inner, depth + 1):
+                yield f"{member}/{n}", b
         else:
             yield member, inner
 
 
 def members(files: DataFrame) -> DataFrame:
-    """(path, content) archives -> path, member, content, error."""
+    """(path, content) archives -> path, member, content, error: a row for each member, and one with the error where reading ended early."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for path, content in zip(pdf["path"], pdf["content"]):
-                rows, error = [], None
+                rows = []
                 try:
-                    rows = list(_members(path, bytes(content), 0))
+                    for name, inner in _members(path, bytes(content), 0):
+                        rows.append((path, name, inner, None))
+                except Limit as e:
+                    rows.append((path, None, None, str(e)))
                 except Exception as e:  # a broken archive is a row, not a failed job
-                    error = type(e).__name__
-                rows = rows or [(None, None)]
-                yield pd.DataFrame({"path": path, "member": [r[0] for r in rows], "content": [r[1] for r in rows], "error": error})
+                    rows.append((path, None, None, type(e).__name__))
+                yield pd.DataFrame(rows or [(path, None, None, None)], columns=["path", "member", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, member string, content binary, error string")
 
@@ -173,7 +207,8 @@ def texts(files: DataFrame) -> DataFrame:
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     text = text_of(path, bytes(content))
-                    out.append((path, text, None if text else "no text"))
+                    cut = path.lower().endswith((".csv", ".tsv")) and text.count("\n") + 1 >= MOST_ROWS
+                    out.append((path, text, f"rows beyond {MOST_ROWS} left out" if cut else None if text else "no text"))
                 except Exception as e:
                     out.append((path, "", type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "text", "warning"])

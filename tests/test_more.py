@@ -11,7 +11,7 @@ from riskweave.functions import checksums, text
 from riskweave.operators import actions, context, detect, dictionary, exposure, filterlang, jobs, labels, queue, refine, report, spans, vault
 from riskweave.plans.engine import Engine
 from riskweave.sinks import reports
-from riskweave.sources import corpora, files
+from riskweave.sources import corpora, embedded, files
 
 RESULTS = "path string, size_bytes long, score int, tier string, entities map<string,bigint>, error string"
 
@@ -265,3 +265,58 @@ def test_hints_lose_nothing(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     plain = tuple(r._replace(hints=()) for r in RULES)
     assert sorted(detect.spans(docs).collect()) == sorted(detect.spans(docs, rules=plain).collect())
+
+
+def _docx(text="hello"):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types></Types>")
+        z.writestr("_rels/.rels", "<Relationships></Relationships>")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:p><w:t>{text}</w:t></w:p></w:document>')
+    return data.getvalue()
+
+
+def test_embedded_labels(spark):
+    label = '{"id":"ol_1--2","n":"<&>"}'
+    rows = [("/a.docx", bytearray(_docx())), ("/b.html", bytearray(b"<p>x</p>")), ("/c.txt", bytearray(b"x")), ("/d.docx", bytearray(b"broken"))]
+    df = spark.createDataFrame(rows, "path string, content binary").withColumn("label", F.lit(label))
+    out = embedded.labelled(df)
+    assert {(r.path, r.method) for r in out.collect()} == {("/a.docx", "embedded"), ("/b.html", "embedded"), ("/c.txt", "pointer"), ("/d.docx", "pointer")}
+    again = embedded.labelled(out.withColumn("label", F.lit("second")))
+    assert {r.path: r.label for r in embedded.labels(out).collect()} == {"/a.docx": label, "/b.html": label, "/c.txt": None, "/d.docx": None}
+    got = {r.path: r for r in again.collect()}
+    assert embedded.get("a.docx", bytes(got["/a.docx"].content)) == "second" and files.text_of("a.docx", bytes(got["/a.docx"].content)) == "hello" and bytes(got["/b.html"].content).count(b"second") == 1
+
+
+def test_archives_say_when_they_are_cut(spark, monkeypatch):
+    import bz2
+    import tarfile
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for k in range(5):
+            z.writestr(f"f{k}.txt", "x")
+        z.writestr("../evil.txt", "x")
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w:xz") as t:
+        info = tarfile.TarInfo("in.txt")
+        info.size = 2
+        t.addfile(info, io.BytesIO(b"ok"))
+    bomb = bz2.compress(b"0" * 30_000_000)
+    assert [n for n, _ in files._members("a.zip", data.getvalue(), 0)] == [f"f{k}.txt" for k in range(5)]
+    rows = [("a.tar.xz", bytearray(tar.getvalue())), ("b.bz2", bytearray(bomb)), ("c.zip", bytearray(b"no"))]
+    got = files.members(spark.createDataFrame(rows, "path string, content binary")).collect()
+    assert {(r.path, r.member, r.error) for r in got} == {("a.tar.xz", "in.txt", None), ("b.bz2", None, "too large unpacked"), ("c.zip", None, "BadZipFile")}
+    monkeypatch.setattr(files, "MOST_MEMBERS", 2)
+    with pytest.raises(files.Limit):
+        list(files._members("a.zip", data.getvalue(), 0))
+
+
+def test_file_metadata(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(_docx())
+    (tmp_path / "b.txt").write_bytes(b"plain")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.7 trailer /Encrypt 5 0 R")
+    rows = {r.name: r for r in files.metadata(files.listing(spark, str(tmp_path))).collect()}
+    assert rows["b.txt"].kind == "text/plain" and rows["b.txt"].size_bytes == 5 and rows["b.txt"].content_hash == hashlib.sha256(b"plain").hexdigest()[:12]
+    assert (rows["a.docx"].encrypted, rows["c.pdf"].encrypted, rows["a.docx"].extension) == (False, True, "docx")
+    assert files.listing(spark, str(tmp_path), max_files=2).count() == 2
