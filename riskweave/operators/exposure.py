@@ -90,12 +90,15 @@ def sas(has_public: Column, configured: Column, no_expiry: Column, permissions:
 
 
 def trustee(name: Column, sid: Column) -> Column:
-    """By identifier, then by name, then by a name that it holds; others are single accounts."""
+    """By identifier, then by name, with its domain or without, then by a name that it holds; others are single accounts."""
     low = F.lower(F.trim(name))
+    qualified = F.contains(low, F.lit("\\"))
+    local = F.when(qualified, _lookup(F.substring_index(low, "\\", -1), TRUSTEES))
+    domain = F.when(qualified & (F.contains(low, F.lit("domain users")) | F.contains(low, F.lit("domain admins"))), INTERNAL)
     part = F.lit(PRIVATE)
     for k, v in reversed(TRUSTEES.items()):
         part = F.when(F.contains(low, F.lit(k)), v).otherwise(part)
-    return F.coalesce(_lookup(sid, SIDS), _lookup(low, TRUSTEES), part)
+    return F.coalesce(_lookup(sid, SIDS), _lookup(low, TRUSTEES), local, domain, part)
 
 
 def ntfs(aces: Column, share: Column) -> Column:

@@ -329,13 +329,6 @@ def span_type_counts(spark, d):
     return detect.spans(_t(spark, d, "documents")).groupBy("entity_type").agg(F.count("*").alias("spans"), F.round(F.avg("confidence"), 6).alias("confidence"))
 
 
-@query()
-def detection_quality(spark, d):
-    """The catalog's e-mail spans against themselves as annotations: nothing is lost."""
-    found = detect.spans(_t(spark, d, "documents")).where("entity_type = 'EMAIL'").withColumnRenamed("doc_id", "id")
-    return quality.metrics(found, found).select("fn", "recall")
-
-
 @query("SELECT user_id AS chain, count(*) AS entries, 0::BIGINT AS broken FROM events GROUP BY 1")
 def audit_chain_verify(spark, d):
     rows = _t(spark, d, "events").select(F.col("user_id").alias("chain"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("id"), F.col("ts").cast("string").alias("timestamp"), F.col("user_id").cast("string"), F.col("event_type").alias("action"), F.coalesce("props", F.lit("")).alias("details"))

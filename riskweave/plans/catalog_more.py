@@ -377,3 +377,71 @@ def result_page(spark, d):
     from ..operators import jobs
 
     return jobs.page(queue_priority(spark, d).select("seq", "priority"), [F.desc("priority"), F.col("seq")], 3, 20)
+
+
+def _values(rows, names: str) -> str:
+    """Expected rows, written out as SQL."""
+    said = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(said, r)) + ")" for r in rows) + f") t({names})"
+
+
+#: Published examples of identifiers, and the same with one character changed.
+_IDENTIFIERS = (
+    ("cusip", "037833100", True), ("cusip", "037833101", False), ("isin", "US0378331005", True), ("isin", "US0378331006", False), ("sedol", "0263494", True), ("sedol", "0263495", False),
+    ("lei", "529900T8BM49AURSDO55", True), ("lei", "529900T8BM49AURSDO56", False), ("vin", "1M8GDM9AXKP042788", True), ("vin", "1M8GDM9A1KP042788", False), ("iban", "GB82 WEST 1234 5698 7654 32", True),
+    ("iban", "GB82 WEST 1234 5698 7654 33", False), ("npi", "1234567893", True), ("npi", "1234567894", False), ("aba_routing", "021000021", True), ("aba_routing", "021000022", False), ("figi", "BBG000BLNNH6", True),
+    ("figi", "BBX000BLNNH6", False), ("swift", "DEUTDEFF500", True), ("swift", "DEUTDEF", False), ("ethereum", "0x52908400098527886E0F7030069857D2E4169EE7", True), ("ethereum", "0x5290", False),
+    ("luhn", "79927398713", True), ("luhn", "79927398714", False), ("ipv4", "255.10.0.1", True), ("ipv4", "256.1.1.1", False), ("us_phone", "(212) 555-0100", True), ("us_phone", "555-010-0100", False), ("age", "125", True), ("age", "126", False),
+    ("dea", "AB1234563", True), ("dea", "AB1234564", False),
+)
+
+
+@query(_values(_IDENTIFIERS, "name, value, valid"))
+def checksum_examples(spark, d):
+    rows = spark.createDataFrame([(n, v) for n, v, _ in _IDENTIFIERS], "name string, value string")
+    valid = F.lit(None).cast("boolean")
+    for name in dict.fromkeys(n for n, _, _ in _IDENTIFIERS):
+        valid = F.when(F.col("name") == name, getattr(checksums, name)(F.col("value"))).otherwise(valid)
+    return rows.select("name", "value", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+#: ladder, case, rank: what each setting of a store opens to whom.
+_LADDERS = (
+    ("nfs", "*", 3), ("nfs", "", 3), ("nfs", "10.0.0.0/8", 3), ("nfs", "10.0.0.0/16", 2), ("nfs", "10.0.0.0/24", 1), ("nfs", "10.0.0.1/32", 0), ("nfs", "*.corp.org", 1), ("nfs", "web*", 2), ("nfs", "host1", 0),
+    ("trustee", "Everyone", 2), ("trustee", "ANONYMOUS LOGON", 3), ("trustee", "CORP\\Domain Users", 1), ("trustee", "creator owner", 0), ("trustee", "CORP\\ann", 0), ("sid", "S-1-1-0", 3), ("sid", "S-1-5-11", 2), ("sid", "S-1-5-18", 1), ("sid", "S-1-5-21-9", 0),
+    ("link", "anonymous", 3), ("link", "organization", 2), ("link", "specificPeople", 0), ("link", "unknown", 0),
+    ("gcs", "allUsers", 3), ("gcs", "allAuthenticatedUsers", 2), ("gcs", "domain:x.org", 1), ("gcs", "group:g@x.org", 1), ("gcs", "user:a@x.org", 0),
+    ("blob", "container", 3), ("blob", "blob", 2), ("blob", "private", 0), ("s3", "public-read", 3), ("s3", "authenticated-read", 2), ("s3", "private", 0), ("s3", "aws-exec-read", 1),
+)
+
+
+@query(_values(_LADDERS, "ladder, value, rank"))
+def exposure_ladders(spark, d):
+    v, no, yes = F.col("value"), F.lit(None).cast("string"), F.lit(False)
+    none = F.array().cast("array<string>")
+    ranks = {
+        "nfs": exposure.nfs_host(v), "trustee": exposure.trustee(v, no), "sid": exposure.trustee(F.lit("x"), v), "link": exposure.sharing_link(v, no, no, F.lit(True)), "gcs": exposure.gcs(F.array(v), none, yes, yes),
+        "blob": exposure.blob(v, F.lit("Deny"), F.lit(0), F.lit(0), yes, yes), "s3": exposure.s3(v, F.lit(False), yes, yes, yes, yes),
+    }
+    rank = F.lit(None).cast("int")
+    for name, column in ranks.items():
+        rank = F.when(F.col("ladder") == name, column).otherwise(rank)
+    return spark.createDataFrame([(a, b) for a, b, _ in _LADDERS], "ladder string, value string").select("ladder", "value", rank.alias("rank"))
+
+
+@query("""SELECT doc_id, 'EMAIL' AS entity_type, count(*) AS truth, count(*) AS tp, 0::BIGINT AS fn FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}')) AS v FROM documents) GROUP BY 1
+ UNION ALL SELECT doc_id, 'PHONE', count(*), sum((substr(v, 2, 1) BETWEEN '2' AND '9' AND substr(v, 2, 3) NOT IN ('555', '911', '411'))::INT)::BIGINT, sum((NOT (substr(v, 2, 1) BETWEEN '2' AND '9' AND substr(v, 2, 3) NOT IN ('555', '911', '411')))::INT)::BIGINT
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\([0-9]{3}\\) [0-9]{3}-[0-9]{4}')) AS v FROM documents) GROUP BY 1""")
+def detection_recall(spark, d):
+    """The catalog's spans against independent annotations, the bare patterns' matches: by type and document."""
+    docs = _t(spark, d, "documents")
+    bare = {"EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "PHONE": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}"}
+
+    def of(kind: str, pattern: str):
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("value")))
+
+    every = F.concat(*[of(kind, pattern) for kind, pattern in bare.items()])
+    truth = docs.select("doc_id", F.explode(every).alias("x")).groupBy("doc_id", "x.entity_type").agg(F.count("*").alias("truth"))
+    found = detect.spans(docs).where(F.col("entity_type").isin(*bare)).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    both = truth.join(found, ["doc_id", "entity_type"], "left").withColumn("tp", F.least("truth", F.coalesce("n", F.lit(0))))
+    return both.select("doc_id", "entity_type", "truth", "tp", (F.col("truth") - F.col("tp")).alias("fn"))
