@@ -38,49 +38,49 @@ def _starts(label: str) -> tuple[str, ...]:
 RULES = (
     Rule("SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0, 0.99, CHECKSUM, "ssn"),
     Rule("CREDIT_CARD", r"(?<![0-9A-Za-z])[3-6](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])", 0, 0.99, CHECKSUM, "card"),
-    Rule("NPI", r"(?i)\bNPI\s*[:#]?\s*([12][0-9]{9})\b", 1, 0.95, CHECKSUM, "npi"),
+    Rule("NPI", r"(?i)\bNPI\s*[:#]?\s*([12][0-9]{9})\b", 1, 0.95, CHECKSUM, "npi", ("npi",)),
     Rule("DEA", r"\b[A-Z]{2}[0-9]{7}\b", 0, 0.95, CHECKSUM, "dea"),
     Rule("IBAN", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", 0, 0.98, CHECKSUM, "iban"),
     Rule("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", 0, 0.96, CHECKSUM, "vin"),
     Rule("EMAIL", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}", 0, 0.96),
     Rule("PHONE", r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])", 0, 0.9, PATTERN, "phone"),
     Rule("IP_ADDRESS", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", 0, 0.9, PATTERN, "ipv4"),
-    Rule("MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", 0, 0.95),
+    Rule("MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b", 0, 0.95, PATTERN, None, (":", "-")),
     Rule("URL", r"\bhttps?://[^\s<>\"')\]]{3,2000}", 0, 0.9),
     Rule("DATE", r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])", 0, 0.85, PATTERN, "iso_date"),
     Rule("DATE", r"(?<![0-9/])[01]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2}(?![0-9/])", 0, 0.8, PATTERN, "us_date"),
     Rule("TIME", r"(?i)\b(?:[01]?[0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9])?(?: ?[ap]m)?\b", 0, 0.82),
-    Rule("DATE_DOB", r"(?i)\b(?:DOB|date of birth|born)\s*[:=]?\s*([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})", 1, 0.95, STRUCTURED),
+    Rule("DATE_DOB", r"(?i)\b(?:DOB|date of birth|born)\s*[:=]?\s*([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4})", 1, 0.95, STRUCTURED, None, ("dob", "birth", "born")),
     Rule("AGE", r"(?i)\b(?:age|aged)\s*[:=]?\s*([0-9]{1,3})\b", 1, 0.9, PATTERN, "age"),
     Rule("AGE", r"(?i)\b([0-9]{1,3})[ -]?(?:years?|yrs?)[ -]old\b", 1, 0.92, PATTERN, "age"),
     Rule("ZIP", r"\b(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY]) ([0-9]{5}(?:-[0-9]{4})?)\b", 1, 0.9),
     Rule("ADDRESS", r"\b[0-9]{1,6} (?:[A-Z][A-Za-z]+ ){1,4}(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way|Place|Pl)\b\.?", 0, 0.88),
     Rule("NAME", r"\b(?:Mr|Mrs|Ms|Miss)\.? ([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})", 1, 0.85),
     Rule("NAME_PROVIDER", r"\bDr\.? ([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})", 1, 0.9),
-    Rule("NAME_PATIENT", r"(?i)\bpatient(?: name)?\s*:\s*([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})", 1, 0.92, STRUCTURED),
-    Rule("CUSIP", r"(?i)\bCUSIP\s*[:#]?\s*([0-9A-Z*@#]{8}[0-9])\b", 1, 0.98, CHECKSUM, "cusip"),
+    Rule("NAME_PATIENT", r"(?i)\bpatient(?: name)?\s*:\s*([A-Z][a-z]+(?: [A-Z][a-z]+){1,2})", 1, 0.92, STRUCTURED, None, ("patient",)),
+    Rule("CUSIP", r"(?i)\bCUSIP\s*[:#]?\s*([0-9A-Z*@#]{8}[0-9])\b", 1, 0.98, CHECKSUM, "cusip", ("cusip",)),
     Rule("ISIN", r"\b[A-Z]{2}[A-Z0-9]{9}[0-9]\b", 0, 0.85, CHECKSUM, "isin"),
-    Rule("SEDOL", r"(?i)\bSEDOL\s*[:#]?\s*([0-9BCDFGHJ-NP-TV-Z]{6}[0-9])\b", 1, 0.98, CHECKSUM, "sedol"),
-    Rule("LEI", r"(?i)\bLEI\s*[:#]?\s*([A-Z0-9]{18}[0-9]{2})\b", 1, 0.98, CHECKSUM, "lei"),
+    Rule("SEDOL", r"(?i)\bSEDOL\s*[:#]?\s*([0-9BCDFGHJ-NP-TV-Z]{6}[0-9])\b", 1, 0.98, CHECKSUM, "sedol", ("sedol",)),
+    Rule("LEI", r"(?i)\bLEI\s*[:#]?\s*([A-Z0-9]{18}[0-9]{2})\b", 1, 0.98, CHECKSUM, "lei", ("lei",)),
     Rule("FIGI", r"\bBBG[0-9A-Z]{9}\b", 0, 0.95),
-    Rule("SWIFT_BIC", r"(?i)\b(?:SWIFT|BIC)\s*[:#]?\s*([A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", 1, 0.98),
-    Rule("BANK_ROUTING", r"(?i)\b(?:routing|ABA)\s*(?:number|no\.?|#)?\s*[:#]?\s*([0-9]{9})\b", 1, 0.9, CHECKSUM, "aba"),
+    Rule("SWIFT_BIC", r"(?i)\b(?:SWIFT|BIC)\s*[:#]?\s*([A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?)\b", 1, 0.98, PATTERN, None, ("swift", "bic")),
+    Rule("BANK_ROUTING", r"(?i)\b(?:routing|ABA)\s*(?:number|no\.?|#)?\s*[:#]?\s*([0-9]{9})\b", 1, 0.9, CHECKSUM, "aba", ("routing", "aba")),
     Rule("ETHEREUM_ADDRESS", r"\b0x[0-9a-fA-F]{40}\b", 0, 0.98),
-    Rule("BITCOIN_ADDRESS", r"\bbc1[qpzry9x8gf2tvdw0s3jn54khce6mua7l]{11,71}\b", 0, 0.95),
+    Rule("BITCOIN_ADDRESS", r"\bbc1[qpzry9x8gf2tvdw0s3jn54khce6mua7l]{11,71}\b", 0, 0.95, PATTERN, None, ("bc1",)),
     Rule("CLASSIFICATION_MARKING", r"\b(?:TOP SECRET|SECRET|CONFIDENTIAL)//[A-Z/ -]{2,40}", 0, 0.98),
-    Rule("CLASSIFICATION_LEVEL", r"(?i)\bclassification\s*:\s*(top secret|secret|confidential|unclassified)\b", 1, 0.95, STRUCTURED),
-    Rule("DISSEMINATION_CONTROL", r"\b(?:NOFORN|ORCON|REL TO [A-Z]{3}(?:, ?[A-Z]{3})*|FOUO)\b", 0, 0.95),
-    Rule("CLEARANCE_LEVEL", r"(?i)\b(?:TS/SCI|top secret|secret|confidential) clearance\b", 0, 0.95),
-    Rule("AWS_ACCESS_KEY", r"\bA(?:KI|SI)A[A-Z2-7]{16}\b", 0, 0.99),
-    Rule("GITHUB_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0, 0.99),
+    Rule("CLASSIFICATION_LEVEL", r"(?i)\bclassification\s*:\s*(top secret|secret|confidential|unclassified)\b", 1, 0.95, STRUCTURED, None, ("classification",)),
+    Rule("DISSEMINATION_CONTROL", r"\b(?:NOFORN|ORCON|REL TO [A-Z]{3}(?:, ?[A-Z]{3})*|FOUO)\b", 0, 0.95, PATTERN, None, ("noforn", "orcon", "rel to", "fouo")),
+    Rule("CLEARANCE_LEVEL", r"(?i)\b(?:TS/SCI|top secret|secret|confidential) clearance\b", 0, 0.95, PATTERN, None, ("clearance",)),
+    Rule("AWS_ACCESS_KEY", r"\bA(?:KI|SI)A[A-Z2-7]{16}\b", 0, 0.99, PATTERN, None, ("akia", "asia")),
+    Rule("GITHUB_TOKEN", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", 0, 0.99, PATTERN, None, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("GOOGLE_API_KEY", r"\bAIza[0-9A-Za-z_-]{35}", 0, 0.99),
     Rule("SLACK_TOKEN", r"\bxox[abprs]-[0-9A-Za-z-]{10,250}", 0, 0.99),
     Rule("STRIPE_KEY", r"\b[rs]k_live_[0-9A-Za-z]{16,250}\b", 0, 0.99),
     Rule("JWT", r"\beyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000}", 0, 0.98),
     Rule("PRIVATE_KEY", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 0, 0.99),
     Rule("DATABASE_URL", r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis)://[^\s:@/]{1,100}:[^\s@]{1,200}@[^\s]{1,300}", 0, 0.98),
-    Rule("SECRET", r"(?i)\b(?:token|secret|api_?key)\s*[:=]\s*[\"']?([0-9A-Za-z_/+-]{16,200})", 1, 0.9),
-    Rule("PASSWORD", r"(?i)\b(?:password|passwd|pwd)\s*[:=]\s*[\"']?([^\s\"']{6,128})", 1, 0.9),
+    Rule("SECRET", r"(?i)\b(?:token|secret|api_?key)\s*[:=]\s*[\"']?([0-9A-Za-z_/+-]{16,200})", 1, 0.9, PATTERN, None, ("token", "secret", "api")),
+    Rule("PASSWORD", r"(?i)\b(?:password|passwd|pwd)\s*[:=]\s*[\"']?([^\s\"']{6,128})", 1, 0.9, PATTERN, None, ("passw", "pwd")),
     _labelled("MRN", "MRN|medical record", "[A-Z]{0,3}[0-9]{5,12}", 0.95),
     _labelled("HEALTH_PLAN_ID", "health plan|member|subscriber", "[A-Z]{0,4}[0-9]{6,14}", 0.88),
     _labelled("PASSPORT", "passport", "[A-Z]{0,2}[0-9]{6,9}", 0.88),
@@ -107,7 +107,7 @@ RULES = (
     Rule("CRYPTO_SEED_PHRASE", r"(?i)\b(?:seed|recovery|mnemonic)(?: phrase)?\s*[:=]\s*((?:[a-z]{3,8} ){11}(?:(?:[a-z]{3,8} ){12})?[a-z]{3,8})\b", 1, 0.95, STRUCTURED, None, ("seed", "recovery", "mnemonic")),
     Rule("SCI_MARKING", r"\b(?:TS//SCI|SECRET//SI|TOP SECRET//SI)(?:/[A-Z]{2,4})*\b|//(?:SI|TK|HCS|G|COMINT)(?:/[A-Z]{2,6})*//", 0, 0.95, PATTERN, None, ("//s", "//t", "//h", "//g", "//c")),
     Rule("ITAR_MARKING", r"(?i)\b(?:ITAR[- ](?:controlled|restricted)|subject to (?:the )?ITAR|22 CFR (?:parts? )?12[0-9])\b", 0, 0.95, PATTERN, None, ("itar", "22 cfr")),
-    Rule("EAR_MARKING", r"(?i)\b(?:ECCN\s*:?\s*[0-9][A-E][0-9]{3}|subject to (?:the )?EAR|EAR99|15 CFR (?:parts? )?7[3-7][0-9])\b", 0, 0.93, PATTERN, None, ("eccn", "ear", "15 cfr")),
+    Rule("EAR_MARKING", r"(?i)\b(?:ECCN\s*:?\s*[0-9][A-E][0-9]{3}|subject to (?:the )?EAR|EAR99|15 CFR (?:parts? )?7[3-7][0-9])\b", 0, 0.93, PATTERN, None, ("eccn", "subject to", "ear99", "15 cfr")),
     Rule("DOD_CONTRACT", r"\b(?:[WNF][A-Z0-9]{5}|FA[0-9]{4}|HQ[0-9]{4})-?[0-9]{2}-?[A-Z]-?[0-9]{4}\b", 0, 0.92),
     Rule("GSA_CONTRACT", r"\b(?:GS-[0-9]{2}[A-Z]-[0-9]{4}[A-Z]|47Q[A-Z]{3}[0-9]{2}[A-Z][0-9A-Z]{4})\b", 0, 0.95, PATTERN, None, ("gs-", "47q")),
     Rule("GPS_COORDINATES", r"(?<![0-9.])-?(?:[0-8]?[0-9]|90)\.[0-9]{4,8},\s*-?(?:1[0-7][0-9]|[0-9]{1,2}|180)\.[0-9]{4,8}(?![0-9])", 0, 0.88),
