@@ -8,11 +8,13 @@ Spark commits them, so a lost task leaves no half bundle, and any store will do.
 
 Rows: null html is an empty payload; null url and page_id are allowed.  Of pages with equal payloads of at least
 MIN_REVISIT bytes the one with the largest page_id is written whole, the others as revisits without payload; rows that
-tie for the largest page_id are all written whole.  An empty table gives no bundles.  Payloads of any length are whole.
+tie for the largest page_id are all written whole.  Record identifiers hold the place where a row was written, so rows
+alike have their own.  Reading checks each whole payload against its length and digest.  An empty table gives no bundles.  Payloads of any length are whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import uuid
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +44,10 @@ _PAGES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byt
                     ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def _record(page_id, url, payload: bytes, size: int, digest: str, refers_to, revisit: bool) -> tuple[str, bytes]:
-    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def _record(page_id, url, payload: bytes, size: int, digest: str, refers_to, revisit: bool, place: str = "") -> tuple[str, bytes]:
+    """place tells apart the records of rows that are alike."""
+    record_id = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{place}')}>"
+    block = "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", f"Content-Length: {size}", "", ""]).encode() + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}",
@@ -53,8 +58,8 @@ def _record(page_id, url, payload: bytes, size: int, digest: str, refers_to, rev
         head.append(f"X-Page-ID: {page_id}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}", "", ""]
-    return record_id, "\r\n".join(head).encode() + payload + b"\r\n\r\n"
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
+    return record_id, "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
 class BundleWriter:
@@ -120,10 +125,13 @@ def _records(block: bytes) -> Iterator[dict]:
         size = int(head["Content-Length"])
         url = head.get("WARC-Target-URI")
         number = lambda k: int(head[k]) if k in head and head[k] != "None" else None
+        body = block[block.index(b"\r\n\r\n", end + 4) + 4: end + 4 + size]
+        length, digest = number("X-Payload-Length"), head["WARC-Payload-Digest"].removeprefix("sha1:")
+        if head["WARC-Type"] == "response" and (len(body), hashlib.sha1(body).hexdigest()) != (length, digest):
+            raise ValueError(f"the payload of {head['WARC-Record-ID']} is not what its digest says")
         yield {
             "page_id": number("X-Page-ID"), "url": None if url is None else url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"),
-            "payload_bytes": number("X-Payload-Length"), "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
-            "record_type": head["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": block[end + 4: end + 4 + size],
+            "payload_bytes": length, "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": body,
         }
         at = end + 4 + size + 4
 
@@ -133,13 +141,15 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, index = w.close()
         return pa.RecordBatch.from_pylist([{"bundle": uuid.uuid5(uuid.NAMESPACE_OID, "".join(x["record_id"] for x in index)).hex, "data": data, "records": index}], _BUNDLES)
 
-    w = None
+    w, n, task = None, 0, TaskContext.get()
+    part = task.partitionId() if task else 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             for x in batch.slice(at, 256).to_pylist():
                 w = w or BundleWriter()
                 payload = b"" if x["revisit"] else x["payload"]
-                record_id, data = _record(x["page_id"], x["url"], payload, x["size"], x["digest"], x["refers_to"], x["revisit"])
+                record_id, data = _record(x["page_id"], x["url"], payload, x["size"], x["digest"], x["refers_to"], x["revisit"], f"{part}:{n}")
+                n += 1
                 w.add(record_id, x["page_id"], data)
                 if w.size >= BUNDLE_BYTES:
                     yield ended(w)
