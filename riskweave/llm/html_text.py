@@ -1,17 +1,20 @@
 """Main text of web pages by composite text density.
 
-A page is parsed to a tree with the usual repairs (implied end tags, void elements, raw text of script and style).
-Elements that are never article text are left out: scripts, styles, forms, menus, page headers and footers, asides,
-and those whose class, id or role names an advert, a notice, a sidebar, a menu or reader comments.  For each other node
-the density is its characters per tag, damped by its share of link text:
-
-    density = C/T * log(C/Lc * T/Lt) / log(log(C/Nc * Lc + Lc_body/C_body * C + e))
-
-with C characters, T tags, Lc and Lt those inside links and Nc = C - Lc.  The node with the largest sum of its
-children's densities, direct text being a child, is the main one; the least density on the path from it to the body is
-the threshold.  Every node on or above the threshold is main text as a whole, and so are those around a direct text on or
-above it and the page's h1; beside the main node, groups of links alone are menus.  A marked node inside an article or
-main element marks that element, so that short headings and paragraphs stay.
+A page is parsed to a tree with the usual repairs (implied end tags, void elements, raw text of script and style; as in
+browsers, elements nested deeper than DEPTH stand beside each other, and an unclosed tag ends at the next `>`).
+Elements that are never article text are left out: scripts, styles, forms, menus, page headers and footers, asides, and
+those with a class or id that is made of nothing but the names of adverts, notices, sidebars, menus, reader comments and
+words of layout.  For each other node the density is its characters per tag, damped by its share of link text:
+
+    base    = log(C/Nc * Lc + Lc_body/C_body * C + e)
+    density = C/T * log(C/Lc * T/Lt) / max(1, 1 + log(base)) + C/T / 100
+
+with C characters, T tags, Lc and Lt those inside links and Nc = C - Lc, each at least 1 as a divisor, and the first
+logarithm at least 0.  The node with the largest sum of its children's densities, direct text being a child, is the main
+one; the least density on the path from it to the body is the threshold.  Every node on or above the threshold is main
+text as a whole, and so are those around a direct text on or above it and the page's h1; beside the main node, groups of
+links alone are menus.  If the main node lies in an article or main element, marked nodes in such elements mark these,
+so that short headings and paragraphs stay, and others are left out.
 
 Blocks are trimmed, white space inside a block becomes one blank, blocks are joined by one line feed in page order.
 Null or empty html, and pages without text, give an empty text; null url and page_id are allowed; nothing is capped.
@@ -30,16 +33,20 @@ from pyspark.sql import functions as F
 
 # HTML element classes.
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math canvas select object audio video".split())
-NEVER = frozenset("head script style nav footer aside form button select option textarea input iframe noscript template svg canvas object audio video dialog menu title noframes noembed xmp math label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg canvas select object audio video".split())
+NEVER = frozenset("head script style nav footer aside form button select option textarea input iframe noscript template svg canvas object audio video dialog menu title noframes noembed xmp label fieldset".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br nobr math semantics mrow mi mn mo ms mtext msub msup msubsup mfrac msqrt mroot munder mover munderover mstyle mspace".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 NAMES = frozenset("ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar comment comments comentarios kommentare disqus respond replies reply discussion share sharing social related recommended recommendations login search skip legal copyright tags".split())
+LAYOUT = frozenset("area banner bar block body bottom box button buttons cell center col column container content e fixed float footer group header head inner inline item items js label large left link links list main middle mobile module outer page panel post primary right row secondary section site slot small text top unit wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+DEPTH = 500
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_PLAIN = re.compile(r"[^\"'>]*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?=[\s=/]|$)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 _STYLE_HIDDEN = re.compile(r"style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Za-z]+")
@@ -57,6 +64,12 @@ class Node:
         self.marked = False
 
 
+def _is_box(name: str) -> bool:
+    """Whether a class or id names a box beside the text: each part does, or is a word of layout."""
+    parts = _PART.findall(name)
+    return any(x in NAMES for x in parts) and all(x in NAMES or x in LAYOUT for x in parts)
+
+
 def _excluded(tag: str, attributes: str, above: Node) -> tuple[bool, bool]:
     """Whether the element is never article text; whether only its names say so."""
     if tag in NEVER:
@@ -74,94 +87,145 @@ def _excluded(tag: str, attributes: str, above: Node) -> tuple[bool, bool]:
         value, name = "".join(values).strip().lower(), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True, False
-        if name in ("class", "id") and any(x in NAMES for x in _PART.findall(value)):
+        if name in ("class", "id") and any(_is_box(x) for x in value.split()):
             return True, True
     return bool(_STYLE_HIDDEN.search(attributes)), False
 
 
+class _Reader:
+    """Markup, piece by piece: (kind, tag or text, attributes).  Every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.last = {c: page.rfind(c) for c in ('"', "'", ">", "-->", "]]>")}
+        self.quoted = True  # whether tags are still read with their quotes
+        self.unclosed: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """The place of the > that ends the tag, or -1."""
+        page, start = self.page, at
+        if self.last[">"] < at:
+            return -1
+        while self.quoted:
+            at = _PLAIN.match(page, at).end()
+            if at >= len(page):
+                self.quoted = False  # no tag's end was found this way, nor would be from here on
+                break
+            if page[at] == ">":
+                return at
+            close = page.find(page[at], at + 1) if self.last[page[at]] > at else -1
+            at = at + 1 if close < 0 else close + 1
+        return page.find(">", start)
+
+    def pieces(self) -> Iterator[tuple[str, str, str]]:
+        page, n = self.page, len(self.page)
+        while self.at < n:
+            at = page.find("<", self.at)
+            while 0 <= at < n - 1 and not (page[at + 1] in "!?" or page[at + 1] == "/" and page[at + 2: at + 3].isalpha() or page[at + 1].isascii() and page[at + 1].isalpha()):
+                at = page.find("<", at + 1)
+            if at < 0 or at >= n - 1:
+                yield "text", page[self.at:], ""
+                return
+            if at > self.at:
+                yield "text", page[self.at: at], ""
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4) if self.last["-->"] >= at + 4 else -1
+                self.at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", at) and self.last["]]>"] > at:
+                end = page.find("]]>", at)
+                yield "text", page[at + 9: end], "raw"
+                self.at = end + 3
+            elif page[at + 1] in "!?/":
+                end = page.find(">", at) if self.last[">"] > at else -1
+                name = _NAME.match(page, at + 2) if page[at + 1] == "/" else None
+                self.at = n if end < 0 else end + 1
+                if name and end >= 0:
+                    yield "end", name[0].lower(), ""
+            else:
+                name = _NAME.match(page, at + 1)
+                end = self.tag_end(name.end())
+                if end < 0:  # the rest of the page is inside the tag
+                    self.at = n
+                    return
+                self.at = end + 1
+                yield "start", name[0].lower(), page[name.end(): end]
+
+    def skip(self, tag: str) -> bool:
+        """Go behind the end tag, if there is one."""
+        if tag in self.unclosed:
+            return False
+        end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(self.page, self.at)
+        close = self.page.find(">", end.end()) if end else -1
+        if close < 0:
+            self.unclosed.add(tag)
+            return False
+        self.at = close + 1
+        return True
+
+
 def parse(page: str) -> Node:
     root = Node("#root", None)
-    at, now, n = 0, root, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            now.children.append(page[at:])
-            break
-        if m.start() > at:
-            now.children.append(page[at:m.start()])
-        at = m.end()
-        if m[1]:
-            tag, up = m[1].lower(), now
+    now, depth, reader = root, 0, _Reader(page)
+    for kind, tag, attributes in reader.pieces():
+        if kind == "text":
+            now.children.append(entities.unescape(tag) if attributes != "raw" else tag)
+        elif kind == "end":
+            up, levels = now, 0
             while up is not root and up.tag != tag:
-                if up.tag in ("table", "article", "body") and tag in INLINE | {"p", "li"}:
+                if up.tag in ("table", "article", "body") and (tag in INLINE or tag in ("p", "li")):
                     up = root
                     break
-                up = up.parent
+                up, levels = up.parent, levels + 1
             if up is not root:
-                now = up.parent
+                now, depth = up.parent, depth - levels - 1
             elif tag in ("p", "br"):
                 now.children.append(Node(tag, now))
-        elif m[2]:
-            tag, attributes = m[2].lower(), m[3] or ""
+        else:
             if tag in ("html", "body"):
                 while now is not root and now.tag != "html":
-                    now = now.parent
+                    now, depth = now.parent, depth - 1
             elif tag in CLOSES_P:
-                up = now
+                up, levels = now, 0
                 while up is not root and (up.tag in INLINE or up.tag == "p"):
                     if up.tag == "p":
-                        now = up.parent
+                        now, depth = up.parent, depth - levels - 1
                         break
-                    up = up.parent
+                    up, levels = up.parent, levels + 1
             if tag in CLOSES:
-                up = now
+                up, close = now, None
                 while up is not root and up.tag not in SCOPE[tag]:
                     if up.tag in CLOSES[tag]:
-                        now = up.parent
+                        close = up
                     up = up.parent
+                while close is not None and now is not close.parent:
+                    now, depth = now.parent, depth - 1
             node = Node(tag, now, *_excluded(tag, attributes, now))
             now.children.append(node)
             if tag in RAW and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if end:  # unclosed raw text: only the tag goes
-                    at = end.end()
-                    continue
-                if tag in ("script", "style"):
+                if not reader.skip(tag) and tag in ("script", "style"):  # of other unclosed raw text only the tag goes
                     break
-            elif tag not in VOID and not attributes.rstrip().endswith("/"):
-                now = node
-        elif m[0].startswith("<![CDATA["):
-            now.children.append(m[0][9:-3])
+            elif tag not in VOID and not attributes.rstrip().endswith("/") and depth < DEPTH:
+                now, depth = node, depth + 1
     return root
 
 
 def _acquit(root: Node) -> None:
     """An element that only its names exclude stays if it holds an article, or the page's heading and most of its text."""
-    todo, named, total = [root], [], 0
+    every, todo = [], [root]
     while todo:
         x = todo.pop()
-        if x.never and x.named:
-            inside, chars, article, heading = [x], 0, False, False
-            while inside:
-                for c in inside.pop().children:
-                    if isinstance(c, str):
-                        chars += len(c)
-                    elif not c.never or c.named:
-                        article = article or c.tag in ("article", "main") and not c.never
-                        heading = heading or c.tag == "h1"
-                        inside.append(c)
-            named.append((x, chars, article, heading))
-            total += chars
-        elif not x.never:
-            for c in x.children:
-                if isinstance(c, str):
-                    total += len(c)
-                else:
-                    todo.append(c)
-    for x, chars, article, heading in named:
-        if article or heading and chars > 0.6 * total:
-            x.never = False
-            _acquit(x)
+        every.append(x)
+        todo += [c for c in x.children if isinstance(c, Node) and (not c.never or c.named)]
+    inside: dict[int, tuple[int, bool, bool]] = {}
+    for x in reversed(every):  # children before parents
+        chars = sum(len(c) for c in x.children if isinstance(c, str))
+        of = [(c, inside[id(c)]) for c in x.children if isinstance(c, Node) and id(c) in inside]
+        inside[id(x)] = (chars + sum(i[0] for _, i in of), any(i[1] or c.tag in ("article", "main") for c, i in of), any(i[2] or c.tag == "h1" for c, i in of))
+    total = inside[id(root)][0]
+    for x in every:
+        if x.named:
+            chars, article, heading = inside[id(x)]
+            x.never = not (article or heading and chars > 0.6 * total)
 
 
 def _order(root: Node) -> list[Node]:
@@ -212,7 +276,7 @@ def _main(order: list[Node]) -> list[Node]:
         threshold = min(threshold, x.density)
         x = x.parent
     out = [top] + [x for x in order if x is not top and x.tag not in INLINE and (x.density >= threshold or x.direct >= threshold or x.tag == "h1")]
-    promoted = []
+    promoted, holds = [], False
     for x in out:
         while x is top and top.tag in INLINE | {"p"} or x.tag in INLINE:
             top = x = x.parent
@@ -222,8 +286,10 @@ def _main(order: list[Node]) -> list[Node]:
                 of = up
             up = up.parent
         promoted.append(of or x)
-    if any(x.tag in ("article", "main") for x in promoted):  # an article says where the text is
+        holds = holds or of is not None and len(promoted) == 1
+    if holds:  # the main node lies in an article, which says where the text ends
         return [x for x in promoted if x.tag in ("article", "main")]
+    promoted = [top, *out[1:]]
     above, x = set(), top.parent
     while x:
         above.add(id(x))
@@ -253,7 +319,7 @@ def _blocks(marked: list[Node], root: Node) -> list[str]:
             end()
         elif isinstance(x, str):
             if inside:
-                now.append(entities.unescape(x))
+                now.append(x)
         elif not x.never:
             inside = inside or x.marked
             if x.tag == "br":
