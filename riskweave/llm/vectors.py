@@ -11,8 +11,11 @@ Equal vectors are one entry with a count.  Cells are dealt in blocks of BLOCK re
 cell with a third of all vectors is many tasks of bounded size.  A pair that both ends find is counted in the cell with
 the smaller number.  What leaves a block is, for each vector, its number of links, and the edges of a spanning forest.
 
-Rows: null, zero and non-finite vectors, and those of another length than most, link with nothing: their component is
-their own id.  Rows that share vec_id and vector are linked with each other like any equal vectors.  Null vec_id is
+Vectors are compared with those of their own length.  Each of the MOST_LENGTHS most frequent lengths has an index, its
+codebooks growing with its number of vectors to MOST_WORDS words; a length beyond these, or with few vectors, is one
+cell, in which all are compared.
+
+Rows: null, zero and non-finite vectors link with nothing: their component is their own id.  Rows that share vec_id and vector are linked with each other like any equal vectors.  Null vec_id is
 allowed; it is no component's id unless nothing else is there.  An empty table gives an empty result.
 """
 
@@ -28,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import cut
+from ._support import cut, scratch
 from .graph import components
 
 SAMPLE = 20_000
 BLOCK = 4096
 RECALL = 0.9999
 PER_CELL = 512
+MOST_WORDS = 512
+MOST_LENGTHS = 32
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -61,7 +66,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, cells: int, least: float, recall: float = RECALL):
         self.half = sample.shape[1] // 2
-        k = int(max(1, min(128, round(math.sqrt(cells)))))
+        k = int(max(1, min(MOST_WORDS, round(math.sqrt(cells)))))
         self.books = [_kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half:], k)]
         self.size = len(self.books[0]), len(self.books[1])
         radius = math.sqrt(2 - 2 * least)
@@ -118,32 +123,48 @@ def _unit(rows) -> np.ndarray:
 
 def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.95, recall: float = RECALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vectors -> key, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     kind = vectors.schema[key].dataType.simpleString()
+    with scratch(vectors.sparkSession):
+        found = _links(vectors, key, embedding, least, recall, sample, block)
+    return found.select(F.col("id").cast(kind).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
+                        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
+
+
+def _links(vectors: DataFrame, key: str, embedding: str, least: float, recall: float, sample: int, block: int) -> DataFrame:
+    """vectors -> id, n_links, component_id; the latter null where nothing is to be compared."""
+    spark = vectors.sparkSession
     raw = vectors.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     fine = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # rows that are equal are one entry, whose node number is a hash of the vector
     rows = cut(raw.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0.0)))).withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("v"))))
     entries = rows.where("v is not null").groupBy("node").agg(F.first("v").alias("v"), F.min("id").alias("least_id"), F.count("*").alias("n"))
     entries = cut(entries)
-    sizes = entries.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return rows.select(F.col("id").cast(kind).alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    dims, many = sizes[0]["d"], sizes[0]["count"]
-    entries = entries.where(F.size("v") == dims)
-    taken = entries.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < math.ceil(min(1.0, sample / many) * (1 << 20))).select("v").limit(2 * sample).collect()
-    fitted = _unit([r["v"] for r in taken]) if taken else _unit([r["v"] for r in entries.limit(1).collect()])
-    shared = spark.sparkContext.broadcast(MultiIndex(fitted, many // PER_CELL, least, recall))  # at most 2 x 128 x half the dimensions
+    lengths = entries.groupBy(F.size("v").alias("d")).count().where(F.col("count") >= 4 * PER_CELL).orderBy(F.desc("count"), "d").limit(MOST_LENGTHS).collect()
+    indexes = {}
+    for r in lengths:
+        share = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < math.ceil(min(1.0, sample / r["count"]) * (1 << 20))
+        taken = entries.where((F.size("v") == r["d"]) & share).select("v").limit(2 * sample).collect()
+        if taken:
+            indexes[r["d"]] = MultiIndex(_unit([x["v"] for x in taken]), r["count"] // PER_CELL, least, recall)
+    shared = spark.sparkContext.broadcast(indexes)  # for each length at most 2 x MOST_WORDS x half the dimensions
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                x = _unit(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(index.home(x).astype(np.int32)), pa.array([c.astype(np.int32) for c in index.visits(x)], pa.list_(pa.int32()))], names=["node", "v", "n", "home", "visits"])
-
-    placed = cut(entries.select("node", "v", "n").mapInArrow(place, "node long, v array<double>, n long, home int, visits array<int>"))
+                found = part.column(1).to_pylist()
+                of = np.array([len(v) for v in found], np.int64)
+                home, visits = of << 32, [np.array([d << 32]) for d in of]  # a cell's number starts with the vectors' length
+                for d in np.unique(of).tolist():
+                    if d in shared.value:
+                        here = np.flatnonzero(of == d)
+                        x = _unit([found[k] for k in here])
+                        home[here] += shared.value[d].home(x)
+                        for k, cells in zip(here, shared.value[d].visits(x)):
+                            visits[k] = visits[k] + cells
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(home), pa.array(visits, pa.list_(pa.int64()))], names=["node", "v", "n", "home", "visits"])
+
+    placed = cut(entries.select("node", "v", "n").mapInArrow(place, "node long, v array<double>, n long, home long, visits array<long>"))
     living = placed.groupBy("home").agg(F.count("*").alias("residents")).select(F.col("home").alias("cell"), "residents")
     coming = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))
     grid = cut(living.join(coming, "cell").select("cell", F.ceil(F.col("residents") / block).alias("rows"), F.ceil(F.col("visitors") / block).alias("columns")))
@@ -154,7 +175,8 @@ def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     both = stay.select("cell", "r", "c", "node", "v", "n", "home", "resident").unionByName(visit.select("cell", "r", "c", "node", "v", "n", "home", "resident"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        index, cell = shared.value, int(pdf["cell"].iloc[0])
+        cell = int(pdf["cell"].iloc[0])
+        index = shared.value.get(cell >> 32)  # without one the length is one cell
         here, come = pdf[pdf["resident"]], pdf[~pdf["resident"]]
         out = {"node": [], "links": [], "to": []}
         if len(here) and len(come):
@@ -170,7 +192,7 @@ def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
                 other = np.flatnonzero(home[q] < cell)
                 for low in range(0, len(other), 8192):
                     some = other[low: low + 8192]
-                    twice = index.reaches(x[p[some]], home[q[some]])
+                    twice = index.reaches(x[p[some]], home[q[some]] & 0xFFFFFFFF)
                     p[some[twice]] = -1
                 q, p = q[p >= 0], p[p >= 0]
                 np.add.at(count_h, p, many_c[q])
@@ -193,6 +215,4 @@ def links(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     of = cut(entries.select("node", "least_id", "n").join(counts, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     least_of = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     known = of.join(least_of, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    return rows.select("id", "node").join(known, "node", "left").select(
-        F.col("id").cast(kind).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"))
+    return cut(rows.select("id", "node").join(known, "node", "left").select("id", "n_links", "component_id"), keep=True)
