@@ -42,13 +42,16 @@ def _bound_vectors(runs: np.ndarray, dims: int) -> np.ndarray:
     return np.roll(base, 2, axis=1)[a] * np.roll(base, 1, axis=1)[b] * base[c]
 
 
-_IS_LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def _codes(text: str) -> np.ndarray:
     """Code points of the lower-cased text, each run of non-letters as one 32, with one at both ends; empty if no letter."""
     raw = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _IS_LETTER[np.minimum(raw, 0xFFFF)] | (raw > 0xFFFF)
+    letter = _letters()[raw]
     if not letter.any():
         return raw[:0]
     code = np.where(letter, raw, 32)
