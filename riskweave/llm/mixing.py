@@ -5,7 +5,8 @@ fraction is rounded so that the words taken hardly differ from the target.  Two
 q and sizes s and t exchange mass: s*p + t*q stays, one of the parts becomes 0 or 1, and the chances of the two ways
 are such that every expectation stays.  This is done along blocks of documents; the one document of each block that is
 still fractional goes on to the next level of a tree, until each source has one, which is rounded at random.  So the
-words taken from a source differ from its target by less than one document.
+words taken from a source differ from its target by less than one document; as a block is folded from its largest
+document to its smallest, this one is as a rule a small one.
 
 Everything is DataFrame operations: a block is an array that one aggregate() folds, blocks have at most BLOCK
 documents however large a source is, and a level passes on one document a block.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._support import cut, words_in
+from ._support import cut, scratch, words_in
 
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
@@ -88,7 +89,11 @@ def _fold(rows: Column) -> Column:
 
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """-> doc_id, source, mark (hash of the text), n (rows alike), size (of one), source_size, target, copies."""
-    spark = docs.sparkSession
+    with scratch(docs.sparkSession):
+        return cut(_plan(docs, weights, most, seed, block), keep=True)
+
+
+def _plan(docs: DataFrame, weights: tuple, most: float, seed: int, block: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     slim = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("mark")))
     goal = cut(targets(slim, weights, most))
@@ -114,7 +119,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: in
         folded = cut(
             numbered.groupBy("id.source", "salt", "chunk")
             .agg(F.sort_array(F.collect_list(F.struct(
-                key.alias("k"), F.struct("id", "n", "size", "whole", "p", _draw(seed, F.lit(level), "id.doc_id", "id.mark", "size").alias("u")).alias("row")))).alias("rows"))
+                (-F.col("size")).alias("z"), key.alias("k"), F.struct("id", "n", "size", "whole", "p", _draw(seed, F.lit(level), "id.doc_id", "id.mark", "size").alias("u")).alias("row")))).alias("rows"))
             .select(_fold(F.transform("rows", lambda x: x["row"])).alias("f"))
         )
         settled = folded.select(F.explode("f.out").alias("r")).select("r.*")
@@ -135,8 +140,8 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: float = MOST, seed: in
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the plan says, with the number of the copy as column `copy`."""
-    marked = docs.drop("copy").withColumn("_mark", F.xxhash64("text"))
+    marked = docs.drop("copy").withColumn("_rw_mark", F.xxhash64("text"))
     chosen = plan(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_doc_id"), F.col("source").alias("_source"), F.col("mark").alias("_of"), F.col("copies").alias("_copies"))
-    same = (F.col("_mark") == F.col("_of")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
-    return marked.join(chosen, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_mark", "_doc_id", "_source", "_of", "_copies")
+        F.col("doc_id").alias("_rw_doc_id"), F.col("source").alias("_rw_source"), F.col("mark").alias("_rw_of"), F.col("copies").alias("_rw_copies"))
+    same = (F.col("_rw_mark") == F.col("_rw_of")) & F.col("doc_id").eqNullSafe(F.col("_rw_doc_id")) & F.col("source").eqNullSafe(F.col("_rw_source"))
+    return marked.join(chosen, same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rw_copies")))).drop("_rw_mark", "_rw_doc_id", "_rw_source", "_rw_of", "_rw_copies")
