@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .score import exposure_rank
@@ -54,6 +56,16 @@ def _number(c: Column) -> Column:
     return F.coalesce(F.when(text.rlike("(?i)^[0-9]+[dwmy]$"), days), exposure_rank(text).cast("double"), text.try_cast("double"), F.lit(0.0))
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether the JVM, which will match it, takes the pattern."""
+    jvm = SparkSession.active().sparkContext._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def _compare(field: Column, op: str, value: str) -> Column:
     text, given = F.lower(F.trim(field.cast("string"))), value.strip().lower()
     if op == "=":
@@ -65,9 +77,8 @@ def _compare(field: Column, op: str, value: str) -> Column:
     if op == "matches":
         if len(value) > 500 or _NESTED.search(value):
             return F.lit(False)
-        try:
-            re.compile(value)
-        except re.error:
+        value = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", value.replace("(?P<", "(?<"))  # named groups as the JVM writes them
+        if not _compiles(value):
             return F.lit(False)
         return (F.length(field.cast("string")) <= 1_000_000) & field.cast("string").rlike(f"(?i){value}")
     left, right = _number(field), _number(F.lit(value))

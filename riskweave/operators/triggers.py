@@ -14,8 +14,8 @@ SURE = 0.80
 BY_EXPOSURE = {"PRIVATE": 0, "INTERNAL": 10, "ORG_WIDE": 30, "PUBLIC": 50}
 BOOSTS = {"no_encryption": 20, "low_confidence_high_risk": 25, "stale_data": 5, "no_labels": 15}
 DESCRIPTIONS = {
-    "no_labels": "No existing classification labels found", "public_access": "Public access requires verification", "org_wide": "Broad organization-wide access detected",
-    "no_encryption": "Data is not encrypted", "stale_data": "Data not modified in over 365 days", "low_confidence_high_risk": "High-risk entity with uncertain confidence",
+    "no_labels": "There is no classification yet", "public_access": "Anyone can reach it", "org_wide": "The whole organisation can reach it", "no_encryption": "It is stored without encryption",
+    "stale_data": "It has not changed for more than a year", "low_confidence_high_risk": "A type of high risk was found, but not for sure",
 }
 
 

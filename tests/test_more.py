@@ -46,6 +46,11 @@ def test_builder(results):
             filterlang.Where(bad)
 
 
+def test_patterns_of_either_kind(results):
+    find = lambda e: {r.path for r in results.where(filterlang.parse(e, filterlang.of(results))).collect()}
+    assert find("path matches '(?P<x>d)/a'") == {"/d/a.csv"} and find("path matches '(?<x>A)[.]c'") == {"/d/a.csv"} and find("path matches '('") == set()
+
+
 def test_contained():
     found = refine.without_contained("", [span(0, 100, "NAME", "", tier=2), span(0, 5, "NAME", "", tier=4), span(10, 20, "NAME_PATIENT", "", tier=3), span(10, 20, "EMAIL", ""), span(200, 210, "DATE_DOB", ""), span(200, 210, "DATE", "", 0.95)])
     assert {(s["start"], s["end"], s["entity_type"]) for s in found} == {(0, 100, "NAME"), (10, 20, "EMAIL"), (200, 210, "DATE")}
