@@ -5,7 +5,7 @@ social security numbers by the ranges of their parts, IPv4 by its octets, dates
 or date becomes its place in the list of all valid values of its format; a Feistel network with keyed SHA-256 rounds,
 adding in turn modulo a and modulo b for a list of a*b values, permutes the places; the new place is written in the old
 format, separators and all.  So equal values get equal pseudonyms in every document, different values different ones,
-and a card stays a card (its check digit is computed anew, its first digit stays).  Formats that are no such list,
+and a card stays a card of its issuer (its check digit is computed anew, its first four digits stay).  Formats that are no such list,
 e-mail addresses and secrets, get keyed hashes in their own alphabet and length.
 
 All of it is DataFrame functions: the text is split at the matches, the matches are mapped, both are joined again; no
@@ -28,9 +28,11 @@ ISO_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9](?![0-9-])"
 SLASH_DATE = r"(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/(?:19|20)[0-9]{2}(?![0-9/])"
 DOT_DATE = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.(?:19|20)[0-9]{2}(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])[3-6](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+# Card numbers by first digits and length.
+ISSUERS = r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11,16}|(?:35|6[0-9])[0-9]{14,17}|5[06-9][0-9]{10,17})$"
 CLOUD_KEY = r"(?<![0-9A-Za-z])A(?:KI|SI)A[A-Z2-7]{16}(?![0-9A-Za-z])"
 HEX_KEY = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
-PASSWORD = r"(?<=[=: \"'])(?<=(?:password|passwd|secret|token|api_key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9]{8,}+"
+PASSWORD = r"(?<=[=: \"'])(?<=(?:password|passwd|secret|token|api_key)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?)[A-Za-z0-9!#$%&*+./=?^_~-]{7,}[A-Za-z0-9]"
 
 KINDS = (
     ("email", EMAIL), ("ipv4", IPV4), ("date", f"{ISO_DATE}|{SLASH_DATE}|{DOT_DATE}"), ("ssn", SSN), ("phone", PHONE), ("card", CARD),
@@ -39,7 +41,8 @@ KINDS = (
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
 
 FIRST_DAY = "1900-01-01"
-DAYS_A = DAYS_B = 271  # 271 * 271 days from FIRST_DAY: to 2101-01-27
+LAST_DAY = "2099-12-31"
+DAYS_A, DAYS_B = 17, 4297  # 17 * 4297 days from FIRST_DAY to LAST_DAY
 
 #: What every match holds at least: a digit, an @ or the mark of a secret; hexadecimal keys may be letters alone.
 SOME = "[0-9@]|A(?:KI|SI)A|password|passwd|secret|token|api_key|[a-f]{32}"
@@ -62,15 +65,17 @@ def _keyed(key: str, *what: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *[w.cast("string") for w in what]).cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
-def permute(x: Column, a: Column, b: Column, key: str, kind: str) -> Column:
+def permute(x: Column, a: Column, b: Column, key: str, kind: str | Column) -> Column:
     """The place of x, of a*b places, under the keyed permutation of this kind."""
 
+    name = kind if isinstance(kind, Column) else F.lit(kind)
+
     def turn(s: Column, i: Column) -> Column:
         left, right = s["l"], s["r"]
         even = F.pmod(i, F.lit(2)) == 0
         return F.struct(
-            F.when(even, F.pmod(left + F.pmod(_keyed(key, F.lit(kind), i, right), a), a)).otherwise(left).alias("l"),
-            F.when(even, right).otherwise(F.pmod(right + F.pmod(_keyed(key, F.lit(kind), i, left), b), b)).alias("r"),
+            F.when(even, F.pmod(left + F.pmod(_keyed(key, name, i, right), a), a)).otherwise(left).alias("l"),
+            F.when(even, right).otherwise(F.pmod(right + F.pmod(_keyed(key, name, i, left), b), b)).alias("r"),
         )
 
     start = F.struct(_div(x, b).alias("l"), F.pmod(x, b).alias("r"))
@@ -101,10 +106,10 @@ def _power(n: Column) -> Column:
 
 def _card(m: Column, key: str) -> Column:
     d = _digits(m)
-    n = F.length(d) - 2
+    n = F.length(d) - 5
     left, right = F.floor(n / 2), n - F.floor(n / 2)
-    place = permute(F.substr(d, F.lit(2), n).cast("long"), _power(left), _power(right), key, "card")
-    body = F.concat(F.substring(d, 1, 1), _zeros(place, n))
+    place = permute(F.substr(d, F.lit(5), n).cast("long"), _power(left), _power(right), key, "card")
+    body = F.concat(F.substring(d, 1, 4), _zeros(place, n))
     check = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(body, c.cast("string"))), lambda c: _luhn(c))
     return _refill(m, F.element_at(check, 1))
 
@@ -143,10 +148,45 @@ def _day(m: Column) -> Column:
     return F.when(F.contains(m, F.lit(".")), date(two, one)).when(F.contains(m, F.lit("-")), date(one, two)).otherwise(F.coalesce(date(one, two), date(two, one)))
 
 
+def _walk(x: Column, a: Column, b: Column, key: str, kind: str, valid) -> Column:
+    """permute() within the valid places: what lands on another goes on.  Less than one place in ten is not valid, so 24 steps always do."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(23)), permute(x, a, b, key, kind), lambda s, _: F.when(valid(s), s).otherwise(permute(s, a, b, key, kind)))
+
+
 def _date(m: Column, key: str) -> Column:
-    place = permute(F.datediff(_day(m), F.lit(FIRST_DAY).cast("date")).cast("long"), _long(DAYS_A), _long(DAYS_B), key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), place.cast("int"))
-    return F.when(F.contains(m, F.lit("-")), F.date_format(new, "yyyy-MM-dd")).when(F.contains(m, F.lit(".")), F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
+    """Order, separators and the number of digits of each part stay.
+
+    Dates with two digits for day and month are places in the list of all days, the same one however they are written;
+    others, and those with a slash whose day comes first and so is above 12, are places in year x month x day.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    place = permute(F.datediff(_day(m), first).cast("long"), _long(DAYS_A), _long(DAYS_B), key, "date")
+    new = F.date_add(first, place.cast("int"))
+    dot, slash = F.contains(m, F.lit(".")), F.contains(m, F.lit("/"))
+    parts = F.split(m, "[./-]")
+    one, two = F.get(parts, F.when(dot | slash, 0).otherwise(1)), F.get(parts, F.when(dot | slash, 1).otherwise(2))
+    turned = slash & ((one.cast("int") > 12) | F.try_to_date(F.concat_ws("-", F.get(parts, 2), _zeros(one, 2), _zeros(two, 2)), "yyyy-MM-dd").isNull())
+    day_first = dot | turned
+    month, day = F.when(day_first, two).otherwise(one), F.when(day_first, one).otherwise(two)
+    low, days = F.when(turned, 13).otherwise(1).cast("long"), F.when(turned, 19).when(F.length(day) == 1, 9).otherwise(31).cast("long")
+    months = F.when(F.length(month) == 1, 9).otherwise(12).cast("long")
+
+    def split(x: Column) -> tuple[Column, Column, Column]:
+        rest = _div(x, days)
+        return _div(rest, months) + 1900, F.pmod(rest, months) + 1, F.pmod(x, days) + low
+
+    def valid(x: Column) -> Column:
+        y, mo, d = split(x)
+        leap = (F.pmod(y, F.lit(4)) == 0) & ((F.pmod(y, F.lit(100)) != 0) | (F.pmod(y, F.lit(400)) == 0))
+        return d <= F.when(mo == 2, F.when(leap, 29).otherwise(28)).when(mo.isin(4, 6, 9, 11), 30).otherwise(31)
+
+    at = ((F.get(parts, 2).cast("long") - 1900) * months + month.cast("long") - 1) * days + day.cast("long") - low
+    kind = F.concat_ws("-", F.lit("date"), low.cast("string"), days.cast("string"), months.cast("string"))
+    y, mo, d = split(_walk(at, 200 * months, days, key, kind, valid))
+    mo, d = _zeros(mo, F.length(month)), _zeros(d, F.length(day))
+    odd = F.concat(F.when(day_first, d).otherwise(mo), F.when(dot, ".").otherwise("/"), F.when(day_first, mo).otherwise(d), F.when(dot, ".").otherwise("/"), y.cast("string"))
+    plain = ~turned & (F.length(month) == 2) & (F.length(day) == 2)
+    return F.when(~dot & ~slash, F.date_format(new, "yyyy-MM-dd")).when(~plain, odd).when(dot, F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
 
 
 def _letters(m: Column, key: str, kind: str, alphabet: str, n) -> Column:
@@ -159,7 +199,7 @@ def _letters(m: Column, key: str, kind: str, alphabet: str, n) -> Column:
 def _email(m: Column, key: str) -> Column:
     low = F.lower(m)
     local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
-    return F.concat(_letters(low, key, "email", "bcdfghjklmnpqrst", F.greatest(F.length(local), F.lit(12))), F.lit("@"), _letters(domain, key, "domain", "bcdfghjklmnpqrst", F.lit(12)), F.lit(".example"))
+    return F.concat(_letters(low, key, "email", "bcdfghjklmnpqrst", F.greatest(F.length(local), F.lit(24))), F.lit("@"), _letters(domain, key, "domain", "bcdfghjklmnpqrst", F.lit(12)), F.lit(".example"))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -171,7 +211,7 @@ def _secret(m: Column, key: str) -> Column:
 
 def _kind(m: Column) -> Column:
     """Which kind m is, if valid."""
-    in_range = lambda d: d.between(F.lit(FIRST_DAY).cast("date"), F.lit("2101-01-27").cast("date"))
+    in_range = lambda d: d.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
     whole = lambda p: m.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(m, F.lit("@")), "email")
@@ -179,8 +219,8 @@ def _kind(m: Column) -> Column:
         .when(whole(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"), F.when(in_range(_day(m)), "date"))
         .when(whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), "ssn")
         .when(whole(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"), "phone")
-        .when(whole(r"[3-6](?:[ -]?[0-9]){12,18}"), F.when(_luhn(_digits(m)), "card"))
-        .when(whole("[A-Za-z0-9]+"), "secret")
+        .when(whole(r"[3-6](?:[ -]?[0-9]){12,18}"), F.when(_luhn(_digits(m)) & _digits(m).rlike(ISSUERS), "card"))
+        .when(whole("[A-Za-z0-9!#$%&*+./=?^_~-]+"), "secret")
     )
 
 
@@ -199,6 +239,6 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = F.transform(matches, lambda m: F.struct(m.alias("old"), _kind(m).alias("kind")))
     found = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), x["old"].alias("old"), replacement(x["kind"], x["old"], key).alias("new")))
     pieces = F.split(column, ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("piece"), F.transform("_found", lambda x: x["new"]).alias("new")), lambda z: F.concat(z["piece"], F.coalesce(z["new"], F.lit("")))), "")
-    rows = docs.drop("found", "_found").withColumn("_found", found)
-    return rows.withColumn(text, F.when(F.size("_found") > 0, joined).otherwise(column)).withColumn("found", F.filter("_found", lambda x: x["kind"].isNotNull())).drop("_found")
+    joined = F.array_join(F.transform(F.arrays_zip(pieces.alias("piece"), F.transform("_rw_found", lambda x: x["new"]).alias("new")), lambda z: F.concat(z["piece"], F.coalesce(z["new"], F.lit("")))), "")
+    rows = docs.drop("found", "_rw_found").withColumn("_rw_found", found)
+    return rows.withColumn(text, F.when(F.size("_rw_found") > 0, joined).otherwise(column)).withColumn("found", F.filter("_rw_found", lambda x: x["kind"].isNotNull())).drop("_rw_found")
