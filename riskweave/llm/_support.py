@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _made: dict[str, SparkSession] = {}
 _open: list[list[str]] = []
+_swept = [0.0]
+#: The driver collects its garbage between jobs, no more often than this.
+SWEEP_SECONDS = 1.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +65,8 @@ def cut(df: DataFrame, keep: bool = False, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.options(**options).parquet(path)
+    if time.monotonic() - _swept[0] >= SWEEP_SECONDS:
+        sweep(spark)
     blocks = _open[:-1] if keep else _open
     if blocks:
         blocks[-1].append(path)
@@ -71,6 +77,7 @@ def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs whose results nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _swept[0] = time.monotonic()
 
 
 @contextmanager

@@ -43,12 +43,11 @@ _OTHER_SPACE = "\t\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
-    """32-bit hashes of the distinct words; the empty words beside blanks go."""
-    low = F.lower(line)
+    """32-bit hashes of a lower-cased line's distinct words; the empty words beside blanks go."""
     odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     for c in _OTHER_SPACE:
         odd = odd | F.contains(line, F.lit(c))
-    words = F.when(odd, F.array_remove(F.split(low, r"[\x20\x09-\x0D]+"), "")).otherwise(F.split(low, " "))
+    words = F.when(odd, F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")).otherwise(F.split(line, " "))
     return F.array_distinct(F.transform(words, lambda w: F.hash(w)))
 
 
@@ -57,25 +56,26 @@ def numbered(docs: DataFrame, key: str, text: str, most: int = 1 << 40) -> DataF
     ids = docs.select(F.col(key).cast("long").alias("id"))
     span = ids.agg(F.min("id"), F.max("id"), F.count("*") - F.count("id")).first()
     if not span[2] and -most < (span[0] or 0) and (span[1] or 0) < most and not ids.groupBy("id").count().where("count > 1").limit(1).count():
-        return docs.withColumn("_n", F.col(key).cast("long"))
-    marked = docs.withColumn("_id", F.col(key).cast("long")).withColumn("_mark", F.xxhash64(text))
-    places = cut(marked.select("_id", "_mark").distinct().orderBy(F.col("_id").asc_nulls_first(), "_mark").select(F.col("_id").alias("_i"), F.col("_mark").alias("_m"), F.monotonically_increasing_id().alias("_k")), keep=True)
-    part = F.shiftright("_k", 33)
+        return docs.withColumn("_rw_n", F.col(key).cast("long"))
+    marked = docs.withColumn("_rw_id", F.col(key).cast("long")).withColumn("_rw_mark", F.xxhash64(text))
+    places = cut(marked.select("_rw_id", "_rw_mark").distinct().orderBy(F.col("_rw_id").asc_nulls_first(), "_rw_mark").select(F.col("_rw_id").alias("_rw_i"), F.col("_rw_mark").alias("_rw_m"), F.monotonically_increasing_id().alias("_rw_k")), keep=True)
+    part = F.shiftright("_rw_k", 33)
     before, at = [], 0
     for r in places.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect():  # a row for each partition of the sort
         before += [0] * (r["part"] - len(before)) + [at]
         at += r["count"]
     start = F.split(F.lit(",".join(map(str, before)) or "0"), ",").cast("array<bigint>")
-    numbers = places.select("_i", "_m", (F.get(start, part.cast("int")) + F.col("_k").bitwiseAND((1 << 33) - 1)).alias("_n"))
-    return marked.join(numbers, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_mark") == F.col("_m"))).drop("_id", "_mark", "_i", "_m")
+    numbers = places.select("_rw_i", "_rw_m", (F.get(start, part.cast("int")) + F.col("_rw_k").bitwiseAND((1 << 33) - 1)).alias("_rw_n"))
+    return marked.join(numbers, F.col("_rw_id").eqNullSafe(F.col("_rw_i")) & (F.col("_rw_mark") == F.col("_rw_m"))).drop("_rw_id", "_rw_mark", "_rw_i", "_rw_m")
 
 
 def token_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     """A row for each line, or for a null text: id, the key, n_lines, pos, t (its tokens' hashes), k1 and k2 (hashes of its text)."""
-    split = docs.select(F.col("_n").alias("id"), F.col(key).alias("key"), F.split(F.col(text).cast("string"), "\n").alias("lines"))
-    every = split.select("id", "key", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.posexplode_outer("lines").alias("pos", "line"))
-    low = F.lower("line")
-    return cut(every.select("id", "key", "n_lines", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64(low).alias("k1"), F.xxhash64(F.lit(1), low).alias("k2"),
+    split = docs.select(F.col("_rw_n").alias("id"), F.col(key).alias("key"), F.split(F.lower(F.col(text).cast("string")), "\n").alias("lines"))
+    # counted before the lines are dealt out, so that no line's row carries the whole array
+    split = split.select("id", "key", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "lines")
+    every = split.select("id", "key", "n_lines", F.posexplode_outer("lines").alias("pos", "line"))
+    return cut(every.select("id", "key", "n_lines", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
                         F.when(F.coalesce(F.col("line"), F.lit("")) != "", _tokens(F.col("line"))).otherwise(F.array().cast("array<int>")).alias("t")), **PLAIN)
 
 
@@ -190,8 +190,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
 def _without(marked: DataFrame, every: DataFrame, removed: DataFrame, text: str) -> DataFrame:
     lost = removed.join(every.select("id", "n_lines").distinct(), "id")
-    stay = lost.select(F.col("id").alias("_id"), F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), "removed").alias("_stay"))
-    joined = marked.join(stay, F.col("_n") == F.col("_id"), "left").withColumn("_lines", F.when(F.col("_id").isNotNull(), F.split(text, "\n")))
-    kept = F.when(F.size("_lines") > 0, F.array_join(F.transform("_stay", lambda p: F.get("_lines", p)), "\n"))
-    joined = joined.withColumn(text, F.when(F.col("_id").isNull(), F.col(text)).otherwise(kept))
-    return joined.where(F.col("_id").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    stay = lost.select(F.col("id").alias("_rw_id"), F.array_except(F.sequence(F.lit(0), F.col("n_lines").cast("int") - 1), "removed").alias("_rw_stay"))
+    joined = marked.join(stay, F.col("_rw_n") == F.col("_rw_id"), "left").withColumn("_rw_lines", F.when(F.col("_rw_id").isNotNull(), F.split(text, "\n")))
+    kept = F.when(F.size("_rw_lines") > 0, F.array_join(F.transform("_rw_stay", lambda p: F.get("_rw_lines", p)), "\n"))
+    joined = joined.withColumn(text, F.when(F.col("_rw_id").isNull(), F.col(text)).otherwise(kept))
+    return joined.where(F.col("_rw_id").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
