@@ -80,6 +80,12 @@ def sweep(spark: SparkSession) -> None:
     _swept[0] = time.monotonic()
 
 
+def release(spark: SparkSession) -> None:
+    """Every executor collects its garbage: it gives back heap that earlier steps have filled, which else stays taken beside the Python workers."""
+    tasks = max(1, spark.sparkContext.defaultParallelism)
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What cut() writes in this block is deleted at its end; only what it keeps may be used after it."""

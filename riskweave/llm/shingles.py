@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._support import cut, scratch
+from ._support import cut, release, scratch
 from .graph import components
 from .vectors import _forest
 
@@ -43,6 +43,8 @@ RECALL = 0.9999
 MOST_HASHES = 128
 BLOCK_ROWS = 1024
 BLOCK_SHINGLES = 1 << 20
+#: A worker keeps the hashes of so many words, and those of one text.
+MOST_KNOWN = 1 << 16
 
 _WORD = re.compile(r"\w+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -78,7 +80,7 @@ class Shingler:
         if not found:
             return np.empty(0, np.uint64)
         known = self._known
-        if len(known) > 1 << 20:
+        if len(known) > MOST_KNOWN:
             known.clear()
         codes = np.empty(len(found), np.uint64)
         codes[:] = [known.get(w) or known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in found]
@@ -205,6 +207,7 @@ def _compare(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
 def _classes(docs: DataFrame, key: str, text: str, words: int, least: float, recall: float, most_hashes: int) -> DataFrame:
     """docs -> id, row (hash of the text), n_shingles; for rows with words also n_links, copy_id, and the class's first id and row."""
     bands, rows = choose_bands(least, recall, most_hashes)
+    release(docs.sparkSession)  # before Python workers start
     plain = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).cast("string").alias("text"))
     signed = cut(signatures(plain, bands, rows, words))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
@@ -214,6 +217,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: float, rec
     shared = banded.groupBy("k", "band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("k", "band", "first")
     near = cut(banded.join(shared, ["k", "band"]))
     wanted = cut(near.groupBy("node").agg(F.min("first").alias("to")))
+    release(docs.sparkSession)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)

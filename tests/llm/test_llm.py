@@ -663,6 +663,23 @@ def test_pipeline_near_duplicates(spark, some_docs):
     assert Counter(tuple(r) for r in out.collect()) == Counter(some_docs[k] for k in keep) and len(keep) < len(some_docs) - 3
 
 
+def test_near_duplicates_bound_memory(spark, some_docs, monkeypatch):
+    from riskweave.llm import _support
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    spark.range(0, 3_000_000, 1, 8).orderBy(F.sha2(F.col("id").cast("string"), 256)).write.format("noop").mode("overwrite").save()
+    taken = runtime.totalMemory()
+    _support.release(spark)
+    assert runtime.totalMemory() < taken
+    calls = []
+    monkeypatch.setattr(shingles, "release", lambda s: calls.append(s))
+    assert _stage(spark, "n-gram Jaccard join", some_docs[:8])[1].count() and calls
+    shingler = shingles.Shingler()
+    for k in range(0, 400_000, 5000):
+        assert len(shingler(" ".join(f"w{j}" for j in range(k, k + 5000)))) == 4996
+    assert len(shingler._known) <= shingles.MOST_KNOWN + 5000
+
+
 def test_pipeline_decontamination(spark, some_docs):
     _, out = _stage(spark, "benchmark decontamination", some_docs)
     bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
