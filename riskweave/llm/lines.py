@@ -70,13 +70,15 @@ def numbered(docs: DataFrame, key: str, text: str, most: int = 1 << 40) -> DataF
 
 
 def token_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A row for each line, or for a null text: id, the key, n_lines, pos, t (its tokens' hashes), k1 and k2 (hashes of its text)."""
+    """A row for each line, or for a null text: id, the key, n_lines, pos, t (its tokens' hashes), k1 and k2 (hashes of its text), n (number of tokens)."""
     split = docs.select(F.col("_rw_n").alias("id"), F.col(key).alias("key"), F.split(F.lower(F.col(text).cast("string")), "\n").alias("lines"))
     # counted before the lines are dealt out, so that no line's row carries the whole array
     split = split.select("id", "key", F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), "lines")
     every = split.select("id", "key", "n_lines", F.posexplode_outer("lines").alias("pos", "line"))
-    return cut(every.select("id", "key", "n_lines", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
-                        F.when(F.coalesce(F.col("line"), F.lit("")) != "", _tokens(F.col("line"))).otherwise(F.array().cast("array<int>")).alias("t")), **PLAIN)
+    every = every.select("id", "key", "n_lines", F.coalesce("pos", F.lit(0)).alias("pos"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"),
+                         F.when(F.coalesce(F.col("line"), F.lit("")) != "", _tokens(F.col("line"))).otherwise(F.array().cast("array<int>")).alias("t"))
+    # steps that need no tokens read their number, not the tokens
+    return cut(every.withColumn("n", F.size("t")), **PLAIN)
 
 
 def rarity(sets: DataFrame) -> Column:
@@ -85,7 +87,7 @@ def rarity(sets: DataFrame) -> Column:
     table = np.zeros(BUCKETS)
     table[counts["b"].to_numpy()] = counts["count"].to_numpy()
     ranks = np.minimum(127, np.floor(3 * np.log2(1 + table))).astype(int).tolist()
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<tinyint>")  # one literal, made into an array by the JVM
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<bigint>")  # one literal, made into an array by the JVM
 
 
 def _when_small(df: DataFrame) -> DataFrame:
@@ -106,25 +108,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     found = cut(sets.join(_when_small(needed), F.col("o") == F.col("line"), "left_semi").select("o", "t").dropDuplicates(["o"]), **PLAIN)
     both = pairs.join(found.select(F.col("o").alias("x"), F.col("t").alias("tx")), "x").join(found.select(F.col("o").alias("y"), F.col("t").alias("ty")), "y")
     common = F.size(F.array_intersect("tx", "ty"))
-    return cut(both.where(common >= least * (F.size("tx") + F.size("ty") - common) - 1e-9).select(F.col("y").alias("o")).distinct())
+    # common >= least * union with `common` on one side, so that it is computed once
+    return cut(both.where((1 + least) * common >= least * (F.size("tx") + F.size("ty")) - 1e-9).select(F.col("y").alias("o")).distinct())
 
 
 def _removed(sets: DataFrame, least: float) -> DataFrame:
     """Token sets with the line number o -> o of every line that goes."""
     spark = sets.sparkSession
-    lines = sets.where(F.size("t") > 0)
+    lines = sets.where("n > 0")
     slim = lines.select("o", "k1", "k2")
     classes = cut(slim.groupBy("k1", "k2").agg(F.min("o").alias("first"), F.max("o").alias("last")).where("first <> last").select("k1", "k2", "first"))
     copies = cut(slim.join(_when_small(classes), ["k1", "k2"]).where("o <> first").select("o"))
     sweep(spark)
 
     table = rarity(lines)
-    place = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1)).cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(0xFFFFFFFF))
+    # never null, which lets Spark sort these as plain longs
+    place = lambda h: F.coalesce(F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1)), 32) + h, F.lit(0).cast("long"))
     # a token flips one bit, which the last bits of its hash name
     parity = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
     wide = F.col("n") >= WIDE
     half = lambda bit: parity(F.filter("t", lambda h: h.bitwiseAND(64) == bit))
-    firsts = lines.join(_when_small(copies), "o", "left_anti").select("o", F.size("t").alias("n"), "t", F.sort_array(F.transform("t", place)).alias("s"))
+    firsts = lines.join(_when_small(copies), "o", "left_anti").select("o", "n", "t", F.sort_array(F.transform("t", place)).alias("s"))
     low = lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int")
     rarer = F.transform(F.slice("s", F.lit(1), F.ceil(F.col("n") / 2).cast("int")), lambda x: x.bitwiseAND(0xFFFFFFFF))
     firsts = cut(firsts.select(

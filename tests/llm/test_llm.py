@@ -574,6 +574,21 @@ def test_long_documents_lose_lines_in_linear_time(spark):
     assert set(kept) == {1, 3} and kept[3] == "own words only here" and time.time() - start < 120
 
 
+def test_line_steps_that_need_no_tokens_read_none(spark, monkeypatch):
+    plans, real = [], lines.cut
+
+    def cut(df, *args, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, *args, **options)
+
+    monkeypatch.setattr(lines, "cut", cut)
+    some = spark.createDataFrame([(1, "one two three\nfour five"), (2, "One two THREE\n\n one  two three "), (3, None), (4, "five four")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in lines.decide(some).collect()} == {1: [], 2: [0, 2], 3: [], 4: [0]}
+    reads = [{c.split("#")[0] for scan in re.findall(r"FileScan parquet \[([^\]]*)\]", p) for c in scan.split(",")} for p in plans]
+    copies = [r for r in reads if {"k1", "k2"} <= r]
+    assert len(copies) >= 2 and not any("t" in r for r in copies)
+
+
 def test_lines_odd(spark, odd, none):
     got = lines.decide(odd)
     assert got.count() == odd.count() and lines.decide(none).count() == 0
