@@ -1,4 +1,4 @@
-"""Span clean-up: boundaries and types of single spans, all as Column expressions.
+"""Span clean-up: boundaries and types of single spans, as Column expressions and, in cleaned(), as a step of refine.refine().
 
 Every step takes and returns spans with start, end, text, entity_type and whatever else they carry; null texts stay as
 they are.
@@ -6,6 +6,8 @@ they are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,3 +69,34 @@ def drop_short_names(spans: DataFrame) -> DataFrame:
 def clean(spans: DataFrame) -> DataFrame:
     """All steps, in one projection and filter for Catalyst."""
     return drop_short_names(names_to_line_end(trim_punctuation(names_to_emails(trim_space(spans)))))
+
+
+#: What the patterns above say to Java, for Python: white space; an address, before whose end a line may end.
+_SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x3000)))
+_EMAIL = re.compile(EMAIL.removesuffix("$") + r"(?:\r\n|[\n\r\x85\u2028\u2029])?\Z")
+
+
+def cleaned(text: str, spans: list[dict]) -> list[dict]:
+    """What clean() does, to the spans of one text, for passes that have them in Python."""
+    out = []
+    for s in spans:
+        value, kind, start = s["text"], s["entity_type"], s["start"]
+        left = value.lstrip(_SPACES)
+        start, value = start + len(value) - len(left), left.rstrip(_SPACES)
+        if not value:
+            continue
+        if kind == "NAME" or kind.startswith("NAME_"):
+            bare = value.rstrip(PUNCTUATION)
+            if _EMAIL.match(bare):
+                value, kind = bare, "EMAIL"
+        if kind in BARE:
+            value = value.rstrip(PUNCTUATION)
+        if kind == "NAME" or kind.startswith("NAME_"):
+            if "\n" in value:
+                value = value.partition("\n")[0].rstrip(_SPACES)
+                if len(value) < SHORTEST_LINE:
+                    continue
+            if len(value.rstrip(".")) < SHORTEST_NAME:
+                continue
+        out.append(s if value == s["text"] and kind == s["entity_type"] else s | {"start": start, "end": start + len(value), "text": value, "entity_type": kind})
+    return out

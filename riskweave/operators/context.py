@@ -68,14 +68,13 @@ def no_plain_secret(text: str, spans: list[dict]) -> list[dict]:
 
 def no_model_record_numbers(text: str, spans: list[dict]) -> list[dict]:
     """Record numbers that a model claims go on identity cards and where they are tracking numbers or a carrier's name."""
-    card = is_id_card(text)
+    claimed = [s for s in spans if s["entity_type"] == "MRN" and s["detector"] in MODELS]
+    card = bool(claimed) and is_id_card(text)
 
     def wrong(s: dict) -> bool:
-        if s["entity_type"] != "MRN" or s["detector"] not in MODELS:
-            return False
         return card or s["text"].strip().rstrip(":").lower() in CARRIERS or is_tracking_number(s["text"], _before(text, s))
 
-    return [s for s in spans if not wrong(s)]
+    return [s for s in spans if not (s in claimed and wrong(s))] if claimed else spans
 
 
 def cities_not_names(text: str, spans: list[dict]) -> list[dict]:

@@ -129,13 +129,14 @@ def repeated(text: str, spans: list[dict], least: float = LEAST_REPEATED, most:
         if s["text"] in seen:
             continue
         seen.add(s["text"])
-        found = 0
-        for m in re.finditer(rf"(?=(?<![^\W_]){re.escape(s['text'])}(?![^\W_]))", text):
-            start, end = m.start(), m.start() + len(s["text"])
-            if found < most and not any(cover.touching(start, end)):
+        found, start = 0, text.find(s["text"])  # a pattern of each value would be compiled for each text
+        while start >= 0 and found < most:
+            end = start + len(s["text"])
+            if not (text[start - 1: start].isalnum() or text[end: end + 1].isalnum()) and not any(cover.touching(start, end)):
                 cover.add(start, end)
                 found += 1
                 more.append(s | {"start": start, "end": end, "confidence": s["confidence"] * DECAY, "detector": "repeat_finder", "tier": ML})
+            start = text.find(s["text"], start + 1)
     return unified_names(text, sorted([*spans, *more], key=lambda s: s["start"]))
 
 
@@ -180,6 +181,11 @@ def fields(text: str, spans: list[dict], labels: dict = LABELS) -> list[dict]:
     return out
 
 
+def in_order(text: str, spans: list[dict]) -> list[dict]:
+    """By place, those of one place by rule: the order in which the other steps take spans."""
+    return sorted(spans, key=lambda s: (s["start"], s["end"], s["rule_ord"]))
+
+
 Step = Callable[[str, list[dict]], list[dict]]
 STEPS: dict[str, Step] = {"fields": fields, "contained": without_contained, "snap": snapped, "addresses": joined_addresses, "repeats": repeated, "names": unified_names}
 
@@ -200,7 +206,8 @@ def refine(docs: DataFrame, spans: DataFrame | None, steps: Iterable[str | Step]
         for batch in batches:
             out = []
             for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t, s = t or "", sorted(s or [], key=lambda x: (x["start"], x["end"], x["rule_ord"]))
+                t = t or ""
+                s = in_order(t, s or [])
                 for step in chosen:
                     s = step(t, s)
                 out.append(s)

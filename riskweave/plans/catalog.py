@@ -19,6 +19,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """The keys of a table, dealt over all cores.  Of a narrow table Spark reads millions of rows in one task, and what makes a text of each key would stay in it."""
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _t(spark, d, name).select(key).repartition(n, key)
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f

@@ -8,7 +8,7 @@ from .. import registry
 from ..functions import checksums, text
 from ..operators import actions, audit, detect, dictionary, exposure, labels, queue, refine, report, score
 from ..sinks import reports
-from .catalog import _RESULTS, _results, _t, query
+from .catalog import _RESULTS, _results, _spread, _t, query
 from .engine import Engine, process, process_content
 
 _REGISTRY = "reg(entity_type, weight, category) AS (VALUES " + ", ".join(f"('{t}', {w}, '{c}')" for t, (w, c) in sorted(registry.WEIGHTS.items())) + ")"
@@ -295,7 +295,7 @@ def whole_detection(spark, d):
     k = F.col("c_custkey")
     made = F.when(k % 6 == 0, F.concat(F.lit("E-mail: a"), k.cast("string"), F.lit("@mail.org"))).when(k % 6 == 1, F.lit("he lives at 12 Long Oak Street since then")).when(k % 6 == 2, F.lit("Mr. Springfield came"))
     made = made.when(k % 6 == 3, F.lit("Mr. Adam Smith wrote. Adam Smith left")).when(k % 6 == 4, F.concat(F.lit("ssn "), F.lpad((100 + k % 500).cast("string"), 3, "0"), F.lit("-12-3456 known"))).otherwise(F.lit("nothing to see"))
-    docs = _t(spark, d, "customer").select(k.alias("doc_id"), made.alias("text"))
+    docs = _spread(spark, d, "customer", "c_custkey").select(k.alias("doc_id"), made.alias("text"))
     found = detect.whole(docs)
     return found.groupBy("doc_id", "entity_type").agg(F.round(F.max("confidence"), 9).alias("confidence"), F.count("*").cast("int").alias("spans"))
 

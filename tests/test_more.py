@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskweave import plugins, registry
 from riskweave.functions import checksums, text
-from riskweave.operators import actions, context, detect, dictionary, exposure, filterlang, jobs, labels, queue, refine, report, spans, vault
+from riskweave.operators import actions, cleanup, context, detect, dictionary, exposure, filterlang, jobs, labels, queue, refine, report, spans, vault
 from riskweave.plans.engine import Engine
 from riskweave.sinks import reports
 from riskweave.sources import corpora, embedded, files
@@ -124,6 +124,34 @@ def test_plugins(spark):
     assert even("12 34") and not even("123") and not even("12x4")
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_is_one_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = [(None, "Mr. Adam Smith wrote"), (None, "mail to a@b.com."), (-1, "Mr. Ann\u2003, patient: Cy Fox Lee\nhe\u00a0"), (-2, ""), (-3, None), (-4, "ab12345678 " * 3 + "MRN: AB12345678, AB12345678x AB12345678")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    found = detect.whole(docs)
+    plan = plan_of(found)
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "InPandas" not in plan
+    assert [r.entity_type for r in found.where("doc_id is null").orderBy("entity_type").collect()] == ["EMAIL", "NAME"]
+    rows = docs.where("doc_id is not null")
+    apart = spans.non_overlapping(refine.refine(rows, cleanup.clean(detect.spans(rows)), ["fields", *context.AFTER]))
+    assert "InPandas" not in plan_of(apart) and plan_of(apart).count("MapInArrow") == 3
+    by_place = lambda df: sorted(tuple(r) for r in df.select("doc_id", "start", "end", "text", "entity_type", "confidence", "detector", "tier", "rule_ord").collect())
+    assert by_place(found.where("doc_id is not null")) == by_place(apart)
+
+
+def test_cleaned(spark):
+    texts = [" a@b.com. ", "a@b.com", "a@b.com\r.", "a@b.com\r\n.", "a@b.com\n\n.", "\u2003Ann Lee\u00a0\n", "Ann Lee\nBob", "A\nBob", "Al.", "Al...", "\x1cAnn\x1d", " \t\u3000", "12-34.;", "Ann\u2028\nx", ".", "\u1680ab", "\x85ab\u200bcd"]
+    rows = [(k, 5, 5 + len(t), t, kind, 0.9, "x", 2, 0) for k, t in enumerate(texts) for kind in ("NAME", "NAME_PATIENT", "NAMES", "EMAIL", "PHONE", "URL")]
+    df = spark.createDataFrame(rows, f"k int, {detect.SPAN}")
+    want = sorted(tuple(r) for r in cleanup.clean(df).select(*df.columns).collect())
+    names = df.columns[1:]
+    assert want == sorted((r[0], *(s[n] for n in names)) for r in rows for s in cleanup.cleaned("", [dict(zip(names, r[1:]))]))
+
+
 def test_dictionary(spark, tmp_path):
     path = tmp_path / "terms.txt"
     path.write_text("# comment\nBlue Cross\nabc\nnurse\nnurse\n deny me \n")
