@@ -8,7 +8,7 @@ or set spark.sql.redaction.string.regex.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .report import tier_rank
@@ -19,9 +19,9 @@ SPANS = "array<struct<start:int,end:int,text:string,entity_type:string,confidenc
 def entries(results: DataFrame, spans: DataFrame, key: Column, source: str, on: str = "path") -> DataFrame:
     """results (path, file_hash, scanned_at, score, tier) and their spans -> vault rows."""
     parts = ("start", "end", "text", "entity_type", "confidence")
-    found = spans.groupBy(on).agg(F.sort_array(F.collect_list(F.struct(*parts))).alias("_s"))
-    counts = spans.groupBy(on, "entity_type").agg(F.count("*").alias("n")).groupBy(on).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", "n")))).alias("entity_counts"))
-    rows = results.join(found, on, "left").join(counts, on, "left")
+    by_type = spans.groupBy(on, "entity_type").agg(F.collect_list(F.struct(*parts)).alias("_of"))
+    found = by_type.groupBy(on).agg(F.sort_array(F.flatten(F.collect_list("_of"))).alias("_s"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("entity_type", F.size("_of").cast("long").alias("n"))))).alias("entity_counts"))
+    rows = results.join(found.hint("merge"), on, "left")  # narrow columns are estimated so small that Spark would broadcast all spans
     text = F.to_json(F.coalesce("_s", F.array().cast(found.schema["_s"].dataType)))
     return rows.select(on, "file_hash", "scanned_at", F.lit(source).alias("source"), F.coalesce("entity_counts", F.create_map().cast("map<string,bigint>")).alias("entity_counts"), "score", "tier", F.aes_encrypt(text.cast("binary"), key).alias("spans"))
 
@@ -32,11 +32,16 @@ def opened(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def stored(vault: DataFrame, new: DataFrame, on: str = "path") -> DataFrame:
-    """The vault with new rows: of each path and source the newest scan; every row shows its path's largest score and highest tier."""
-    rest = [c for c in vault.columns if c not in (on, "source")]
-    newest = vault.unionByName(new).groupBy(on, "source").agg(F.max_by(F.struct(*rest), F.struct("scanned_at", "file_hash")).alias("r")).select(on, "source", "r.*")
-    most = newest.groupBy(on).agg(F.max("score").alias("_score"), F.max_by("tier", tier_rank(F.col("tier"))).alias("_tier"))
-    return newest.join(most, on).withColumn("score", F.col("_score")).withColumn("tier", F.col("_tier")).select(*vault.columns)
+    """The vault with new rows: of each path and source the newest scan; every row shows its path's largest score and highest tier.
+
+    One shuffle by path and one sort behind it.  An aggregate that keeps whole rows would sort them before the shuffle
+    too, all that a task has read at once.
+    """
+    dealt = vault.unionByName(new).repartition(F.col(on))
+    newest, same = Window.partitionBy(on, "source").orderBy(F.desc("scanned_at"), F.desc("file_hash")), Window.partitionBy(on)
+    rows = dealt.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    most = rows.withColumn("score", F.max("score").over(same)).withColumn("tier", F.max_by("tier", tier_rank(F.col("tier"))).over(same))
+    return most.select(*vault.columns)
 
 
 def primary_source(vault: DataFrame, on: str = "path") -> DataFrame:

@@ -232,6 +232,23 @@ def test_jobs(spark):
     assert [(r.id, r.off_by) for r in jobs.issues(samples, "expected", F.col("score")).collect()] == [(3, 4), (1, 3)]
 
 
+def test_vault(spark):
+    key = F.lit("0123456789abcdef").cast("binary")
+    found = spark.createDataFrame([("/a", 5, 8, "x", "SSN", 0.9), ("/a", 0, 3, "y", "EMAIL", 0.8), ("/a", 9, 12, "z", "EMAIL", 0.7)], "path string, start int, end int, text string, entity_type string, confidence double")
+
+    def scans(rows, source):
+        results = spark.createDataFrame(rows, "path string, file_hash string, at string, score int, tier string").withColumn("scanned_at", F.col("at").cast("timestamp")).drop("at")
+        return vault.entries(results, found, key, source)
+
+    old = scans([("/a", "h", "2024-01-01", 90, "critical"), ("/b", "h", None, 5, "LOW"), (None, "h", "2024-01-01", 7, None)], "scanner").unionByName(scans([("/a", "h", "2024-01-02", 20, "LOW")], "dlp"))
+    rows = vault.stored(old, scans([("/a", "h", "2024-02-01", 30, "MEDIUM"), ("/b", "i", None, 4, "MINIMAL")], "scanner"))
+    plan = plan_of(rows)
+    assert "SortAggregate" not in plan and "BroadcastHashJoin" not in plan
+    got = {(r.path, r.source, r.file_hash, r.score, r.tier, str(r.scanned_at)[:10], tuple(sorted(r.entity_counts.items())), tuple(s.text for s in r.spans)) for r in vault.opened(rows, key).collect()}
+    counts, texts = (("EMAIL", 2), ("SSN", 1)), ("y", "x", "z")
+    assert got == {("/a", "scanner", "h", 30, "MEDIUM", "2024-02-01", counts, texts), ("/a", "dlp", "h", 30, "MEDIUM", "2024-01-02", counts, texts), ("/b", "scanner", "i", 4, "MINIMAL", "None", (), ()), (None, "scanner", "h", 7, None, "2024-01-01", (), ())}
+
+
 def test_vault_queue(spark):
     key = F.lit("0123456789abcdef").cast("binary")
     rows = spark.createDataFrame([(1, 1, "i", "t", "u", "a", "d")], "chain int, seq int, id string, timestamp string, user_id string, action string, details string")
