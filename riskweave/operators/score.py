@@ -56,13 +56,14 @@ def co_occurrence(categories: Column) -> tuple[Column, Column]:
     return most, F.transform(F.filter(held, lambda x: x["m"] == most), lambda x: x["name"])
 
 
-def score(entities: DataFrame, key: str = "doc_id", exposure: str | None = None, dimension: DataFrame | None = None) -> DataFrame:
+def score(entities: DataFrame, key: str = "doc_id", exposure: str | None = None, dimension: DataFrame | None = None, types: bool = False) -> DataFrame:
     """(key, entity_type, count, confidence [, exposure]) -> a row for each object with its score and tier.
 
     One shuffle: the confidence of an object is the mean over its matches, which factors out of the sum of weights, so
-    everything comes from one aggregate.
+    everything comes from one aggregate.  types: also entity_types, an entry for each row of the object, in order, so that
+    what was found need not be computed again and joined.
     """
-    rows = entities.withColumn("entity_type", F.upper(F.trim("entity_type")))
+    rows = entities.withColumn("_type", F.col("entity_type")).withColumn("entity_type", F.upper(F.trim("entity_type")))
     if dimension is not None:
         rows = rows.join(dimension, "entity_type", "left").withColumn("weight", F.coalesce("weight", F.lit(5))).withColumn("category", F.coalesce("category", F.lit("unknown")))
     else:
@@ -72,11 +73,12 @@ def score(entities: DataFrame, key: str = "doc_id", exposure: str | None = None,
         F.sum(F.col("weight") * SCALE * (1 + F.log(F.greatest(F.lit(1), F.col("count"))))).alias("base"),
         (F.sum(F.col("confidence") * F.col("count")) / F.sum("count")).alias("confidence"),
         F.sum("count").alias("entity_count"), F.sort_array(F.collect_set(F.when(F.col("category") != "unknown", F.col("category")))).alias("categories"), F.coalesce(level, F.lit(0)).alias("level"),
+        *([F.sort_array(F.collect_list("_type")).alias("entity_types")] if types else []),
     )
     most, names = co_occurrence(F.col("categories"))
     content = F.least(F.lit(100.0), F.col("base") * F.coalesce("confidence", F.lit(NO_CONFIDENCE)) * F.col("co_occurrence"))
     final = F.least(F.lit(100.0), F.col("content") * multiplier_of(F.col("exposure")))
     return (
         grouped.withColumn("co_occurrence", most).withColumn("rules", names).withColumn("exposure", exposure_name(F.col("level"))).withColumn("content", content).withColumn("final", final)
-        .select(key, F.bround("final", 0).cast("int").alias("score"), tier_of(F.col("final")).alias("tier"), F.bround("content", 1).alias("content_score"), "co_occurrence", "rules", "categories", "exposure", "entity_count", "confidence")
+        .select(key, F.bround("final", 0).cast("int").alias("score"), tier_of(F.col("final")).alias("tier"), F.bround("content", 1).alias("content_score"), "co_occurrence", "rules", "categories", "exposure", "entity_count", "confidence", *(["entity_types"] if types else []))
     )

@@ -84,6 +84,18 @@ def non_overlapping(spans: DataFrame, key: str = "doc_id", piece: int = 1 << 16)
     return _within_runs(spans, key, ("start", "end", "tier", "confidence", "rule_ord"), _chosen)
 
 
+def one_a_place(text: str, spans: list[dict]) -> list[dict]:
+    """dedupe() as a step of refine.refine()."""
+    best: dict[tuple[int, int], dict] = {}
+    for s in sorted(spans, key=lambda s: (-s["tier"], -s["confidence"], s["rule_ord"])):
+        best.setdefault((s["start"], s["end"]), s)
+    return list(best.values())
+
+
+#: resolve() as steps of refine.refine().
+RESOLVE = (one_a_place, refine.without_contained, without_overlaps)
+
+
 def islands(positions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Overlapping or touching (start, end) ranges as one."""
     before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

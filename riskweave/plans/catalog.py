@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, text
-from ..operators import audit, cleanup, detect, exposure, filterlang, labels, merge, quality, report, score, spans, triggers
+from ..operators import audit, detect, exposure, filterlang, labels, merge, quality, report, score, spans, triggers
 from ..streaming import watch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -327,7 +327,7 @@ def checksum_nations(spark, d):
 @query()
 def doc_spans(spark, d):
     """All rules with offsets, spans cleaned, conflicts resolved."""
-    return spans.resolve(cleanup.clean(detect.spans(_t(spark, d, "documents"))))
+    return detect.resolved(_t(spark, d, "documents"))
 
 
 @query()

@@ -249,9 +249,8 @@ def catalog_scores(spark, d):
     """Scores from the whole rule catalog: social security numbers and dashed phone numbers count."""
     k = F.col("c_custkey")
     ssn = F.concat(F.lpad((100 + k % 500).cast("string"), 3, "0"), F.lit("-12-"), F.lpad((1 + k % 9000).cast("string"), 4, "0"))
-    docs = _t(spark, d, "customer").select(k.alias("doc_id"), F.when(k % 2 == 0, F.concat(F.lit("his "), ssn, F.lit(" here"))).otherwise(F.concat(F.lit("call 212-"), F.lpad((200 + k % 700).cast("string"), 3, "0"), F.lit("-0100 now"))).alias("text"))
-    found = detect.catalog_counts(docs)
-    return score.score(found).select("doc_id", "score").join(found.select("doc_id", "entity_type"), "doc_id")
+    docs = _spread(spark, d, "customer", "c_custkey").select(k.alias("doc_id"), F.when(k % 2 == 0, F.concat(F.lit("his "), ssn, F.lit(" here"))).otherwise(F.concat(F.lit("call 212-"), F.lpad((200 + k % 700).cast("string"), 3, "0"), F.lit("-0100 now"))).alias("text"))
+    return score.score(detect.catalog_counts(docs), types=True).select("doc_id", "score", F.explode("entity_types").alias("entity_type"))
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, c_custkey % 4 AS e, c_custkey % 3 = 0 AS c FROM customer)

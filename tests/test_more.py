@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from riskweave import plugins, registry
 from riskweave.functions import checksums, text
-from riskweave.operators import actions, cleanup, context, detect, dictionary, exposure, filterlang, jobs, labels, queue, refine, report, spans, vault
+from riskweave.operators import actions, cleanup, context, detect, dictionary, exposure, filterlang, jobs, labels, queue, refine, report, score, spans, vault
+from riskweave.plans import catalog_more
 from riskweave.plans.engine import Engine
 from riskweave.sinks import reports
 from riskweave.sources import corpora, embedded, files
@@ -143,6 +144,20 @@ def test_whole_is_one_pass(spark):
     assert by_place(found.where("doc_id is not null")) == by_place(apart)
 
 
+def test_catalog_counts_is_one_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, "Card 4111 1111 1111 1111, mail a.b@example.com; DOB: 01/02/1990, member 12345678"), (-2, None), (-3, "")], "doc_id long, text string"))
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    assert plain(detect.resolved(docs)) == plain(spans.resolve(cleanup.clean(detect.spans(docs))))
+    found = detect.catalog_counts(docs)
+    plan = plan_of(score.score(found, types=True))
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan and "InPandas" not in plan
+    scored = score.score(found, types=True).select("doc_id", "score", F.explode("entity_types").alias("entity_type"))
+    assert plain(scored) == plain(score.score(found).select("doc_id", "score").join(found.select("doc_id", "entity_type"), "doc_id"))
+    assert "entity_types" not in score.score(found).columns
+    assert plan_of(catalog_more.catalog_scores(spark, "/root/testdata/sf0.001")).count("MapInArrow") == 1
+
+
 def test_cleaned(spark):
     texts = [" a@b.com. ", "a@b.com", "a@b.com\r.", "a@b.com\r\n.", "a@b.com\n\n.", "\u2003Ann Lee\u00a0\n", "Ann Lee\nBob", "A\nBob", "Al.", "Al...", "\x1cAnn\x1d", " \t\u3000", "12-34.;", "Ann\u2028\nx", ".", "\u1680ab", "\x85ab\u200bcd"]
     rows = [(k, 5, 5 + len(t), t, kind, 0.9, "x", 2, 0) for k, t in enumerate(texts) for kind in ("NAME", "NAME_PATIENT", "NAMES", "EMAIL", "PHONE", "URL")]
